@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import byte_texts, materialize, read_documents
-from .tokens import WordEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 SALTS = 64
@@ -118,11 +118,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     """Every whole text as ids and end id, in pieces of at most ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = WordEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        ids_of, tail = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2))):
-                ids = memoryview(encoder.encode(text, tail))
+                ids = memoryview(ids_of(text, tail))
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), row))

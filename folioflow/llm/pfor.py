@@ -60,15 +60,16 @@ def encode(values: np.ndarray, percentile: float = 90.0) -> bytes:
     v = np.pad(values.astype(np.uint32), (0, blocks * BLOCK - n), mode="edge").reshape(blocks, BLOCK)
     least = v.min(axis=1)
     d = v - least[:, None]
-    bits = _bit_length(d)
     rank = min(BLOCK - 1, max(0, int(np.ceil(BLOCK * percentile / 100)) - 1))
-    width = np.partition(bits, rank, axis=1)[:, rank]
+    width = _bit_length(np.partition(d, rank, axis=1)[:, rank])
     wide = width.astype(np.uint64)
-    late = bits > width[:, None]
-    high = (d.astype(np.uint64) >> wide[:, None])[late].astype(np.uint32)
-    place = np.nonzero(late)[1].astype(np.uint8)
+    most = ((np.uint64(1) << wide) - np.uint64(1)).astype(np.uint32)
+    late = d > most[:, None]
+    owner, place = np.nonzero(late)
+    high = (d[late].astype(np.uint64) >> wide[owner]).astype(np.uint32)
+    place = place.astype(np.uint8)
     first_exception = np.concatenate(([0], np.cumsum(late.sum(axis=1))[:-1])).astype(np.uint32)
-    low = (d.astype(np.uint64) & ((np.uint64(1) << wide) - np.uint64(1))[:, None]).astype(np.uint32)
+    low = d & most[:, None]
     sizes = 4 * width.astype(np.int64)
     starts = np.cumsum(sizes) - sizes
     words = np.zeros(int(sizes.sum()), dtype=np.uint32)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import pfor
 from .common import byte_texts, read_documents, shared_path
-from .tokens import WordEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 #: A segment closes with the document that takes it to this many ids.
 SEGMENT_IDS = 1 << 18
@@ -42,7 +42,7 @@ def write_tokens(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = WordEncoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        ids_of, tail = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
         shard, segment, ids, lengths, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -55,7 +55,7 @@ def write_tokens(
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
-                got = encoder.encode(text, tail)
+                got = ids_of(text, tail)
                 ids.append(doc_id)
                 lengths.append(len(got) // 4)
                 parts.append(got)

@@ -1,13 +1,23 @@
-"""Whole-text encoding with a public tokenizer, through a bounded cache of words."""
+"""Whole-text encoding with a public tokenizer, through bounded caches of chunks and pieces."""
 
 from __future__ import annotations
 
 import os
+import re
+from functools import lru_cache
 
 import numpy as np
 
-#: Words one Python worker remembers; beyond it, those not met again are let go.
-CACHE_WORDS = 400_000
+#: Chunks and pieces that one Python worker remembers; beyond it, those not met again are let go.
+CACHE_CHUNKS, CACHE_PIECES = 400_000, 250_000
+
+# The letters, in ASCII and the Latin blocks, whose lower case is one letter and which no normalization changes.
+_LETTER = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňōŏőŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
+_CAPITAL = "A-ZÀ-ÖØ-Þ"
+#: Chunks that are cut here rather than by the tokenizer.
+_PLAIN = re.compile(rf"[!-~{_LETTER}{_CAPITAL}]*")
+# The tokenizer's own split pattern, on lower-cased plain chunks.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -16,41 +26,64 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the letters from 256 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
+
+
+class _Cache(dict):
+    """Two generations: a full young one becomes the old one, whose entries move up when met again."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self._make, self._limit, self._older = make, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self._limit:
+            self._older = dict(self)
+            self.clear()
+        found = self._older.get(key)
+        self[key] = found = self._make(key) if found is None else found
+        return found
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    The tokenizer's normalizer and splitter never join anything across ASCII white space (a separator there is
-    dropped, no composition or contraction spans it), so a text's ids are those of its white-space-separated chunks
-    in order. Chunks recur, so each is encoded once per worker as long as the cache holds it.
+    The tokenizer drops white space and never joins anything across it (no composition, contraction or merge does), so
+    a text's ids are those of its chunks between ASCII white space, in order. A chunk of plain letters, digits and
+    marks is cut into the tokenizer's pieces, each merged by its model; any other chunk goes through it whole.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, chunks: int = CACHE_CHUNKS, pieces: int = CACHE_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._limit = cache_words
-        self._cache: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}  # the words before; those met again move up
+        self._model = self._tokenizer.model
+        self._letters = _byte_letters()
+        self._pieces = _Cache(self._piece, pieces)
+        self._chunks = _Cache(self._chunk, chunks)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([self._letters[b] for b in piece.encode()])
+        return np.array([t.id for t in self._model.tokenize(piece)], dtype="<u4").tobytes()
 
-    def _learn(self, missing: list[bytes]) -> None:
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo : lo + 20_000]
-            found = self._tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            self._cache.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found))
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8")
+        if _PLAIN.fullmatch(text) is None or "<|" in text:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join([self._pieces[p] for p in _PIECES.findall(text.lower())])
 
     def encode(self, text: bytes, tail: bytes = b"") -> bytes:
         """Ids of ``text`` followed by ``tail``."""
-        words = text.split()
-        cache = self._cache
-        missing = set(words).difference(cache)
-        if missing:
-            if len(cache) + len(missing) > self._limit:
-                self._older, self._cache = cache, (cache := {})
-                missing = set(words)
-            older = self._older
-            known = missing.intersection(older)
-            cache.update((w, older[w]) for w in known)
-            if len(known) < len(missing):
-                self._learn(list(missing - known))
-        return b"".join([cache[w] for w in words]) + tail
+        return b"".join(map(self._chunks.__getitem__, text.split())) + tail
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that its caches outlive a task."""
+    return WordEncoder(path)
