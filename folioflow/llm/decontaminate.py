@@ -31,7 +31,8 @@ EDIT_SHARE = 0.1
 #: Shortest item that is looked for: shorter ones are ordinary phrases.
 LEAST = 24
 BLOCK_CHARS = 4_000_000
-STEP = 1 << 19
+#: Characters, and pairs of a text and an item, that one step works on.
+STEP, PAIRS = 1 << 19, 1 << 22
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -67,6 +68,7 @@ class Index:
         self.length = np.array([len(t) for _, t in self.items], dtype=np.int64)
         self.edits = np.array([edits_allowed(len(t)) for _, t in self.items], dtype=np.int64)
         self.bound = self.length - Q + 1 - Q * self.edits
+        self.longest = int(self.length.max(initial=1))
         found = [qgram_hashes(codes(t)) for _, t in self.items]
         every = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
         order = np.argsort(every, kind="stable")
@@ -88,22 +90,33 @@ class Index:
         return np.repeat(at, n), self.item[entry], self.place[entry]
 
 
-def band_distance(pattern: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int]:
-    """Least edits between ``pattern`` and a stretch of ``text`` on diagonals ``low`` to ``low + width - 1``, and its end."""
-    never = len(pattern) + len(text) + 1
-    diagonal = np.arange(low, low + width)
-    inside = lambda i: (i + diagonal >= 0) & (i + diagonal <= len(text))
-    row = np.where(inside(0), 0, never)
+#: Bands that are aligned at once.
+ALIGNED = 256
+
+
+def band_distances(patterns: list[np.ndarray], texts: list[np.ndarray], low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits between each pattern and a stretch of its text on diagonals ``low`` to ``low + width - 1``, and its end.
+
+    All bands advance together, a row of the alignment for each character of the patterns. Places outside a text hold
+    a letter that matches none, which costs what skipping the pattern's letter would.
+    """
+    m = np.array([len(p) for p in patterns])
+    rows = int(m.max())
+    pattern = np.zeros((len(patterns), rows), dtype=np.uint32)
+    text = np.full((len(patterns), rows + width), 0xFFFFFFFF, dtype=np.uint32)
+    for c, (p, t) in enumerate(zip(patterns, texts)):
+        pattern[c, : len(p)] = p
+        part = t[max(0, low[c]) : max(0, low[c] + rows + width)]
+        text[c, max(0, -low[c]) : max(0, -low[c]) + len(part)] = part[: rows + width - max(0, -low[c])]
     step = np.arange(width)
-    for i, p in enumerate(pattern, 1):
-        j = i + diagonal
-        letter = text[np.clip(j - 1, 0, max(0, len(text) - 1))] if len(text) else np.zeros(width, dtype=pattern.dtype)
-        new = np.where((j >= 1) & (j <= len(text)), row + (letter != p), never)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.where(inside(i), new, never)
-        row = np.where(inside(i), np.minimum.accumulate(new - step) + step, never)
-    best = int(np.argmin(row))
-    return int(row[best]), len(pattern) + low + best
+    row = np.zeros((len(patterns), width), dtype=np.int64)
+    for i in range(rows):
+        new = row + (text[:, i : i + width] != pattern[:, i, None])
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        new = np.minimum.accumulate(new - step, axis=1) + step
+        row = np.where((i < m)[:, None], new, row)
+    best = row.argmin(axis=1)
+    return row[np.arange(len(row)), best], m + low + best
 
 
 def matches(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -114,24 +127,44 @@ def matches(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int
     if not len(at):
         return
     number = np.searchsorted(starts, at, side="right") - 1
+    # A text that shares too few q-grams with an item has no band of it that reaches the bound.
+    pair = number * len(index.items) + item
+    enough = np.bincount(pair, minlength=len(texts) * len(index.items)) >= np.tile(index.bound, len(texts))
+    pair, at, item, place, number = (x[enough[pair]] for x in (pair, at, item, place, number))
     diagonal = at - starts[number] - place
-    half = index.edits[item] + 1
-    band = np.floor_divide(diagonal, half)
-    rows = np.concatenate([np.stack((number, item, b), axis=1) for b in (band, band - 1)])
-    found, n = np.unique(rows, axis=0, return_counts=True)
-    found = found[n >= index.bound[found[:, 1]]]
+    band = np.floor_divide(diagonal, index.edits[item] + 1)
+    least = int(band.min(initial=0)) - 1
+    span = int(band.max(initial=0)) - least + 1
+    key = np.concatenate((pair * span + band - least, pair * span + band - 1 - least))
+    # Each q-gram of the item counts once in a band.
+    key = np.unique(key * index.longest + np.tile(place, 2)) // index.longest
+    key, n = np.unique(key, return_counts=True)
+    pair, band = key // span, key % span + least
+    t, i = pair // len(index.items), pair % len(index.items)
+    ok = n >= index.bound[i]
+    found = np.stack((t[ok], i[ok], band[ok]), axis=1)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    later: list[tuple[int, int, int, int]] = []
     for t, i, b in found.tolist():
         e, pattern, text = int(index.edits[i]), index.items[i][1], texts[t]
         low = b * (e + 1)
         a = max(0, low)
-        region = text[a : low + 2 * e + 1 + len(pattern)]
-        if (exact := region.find(pattern)) >= 0:
-            best[t, i] = (0, a + exact, a + exact + len(pattern))
-        elif best.get((t, i), (e + 1,))[0] > 0:
-            edits, end = band_distance(codes(pattern), codes(region), low - a, 2 * e + 1)
-            if edits <= e and edits < best.get((t, i), (e + 1,))[0]:
-                best[t, i] = (edits, max(0, a + end - len(pattern)), a + end)
+        if (exact := text.find(pattern, a, low + 2 * e + 1 + len(pattern))) >= 0:
+            best[t, i] = (0, exact, exact + len(pattern))
+        else:
+            later.append((e, t, i, low))
+    later = sorted(x for x in later if x[1:3] not in best)
+    for lo in range(0, len(later), ALIGNED):
+        part = later[lo : lo + ALIGNED]
+        width = 2 * part[-1][0] + 1
+        patterns = [codes(index.items[i][1]) for _, _, i, _ in part]
+        # Only the band's stretch of each text is decoded.
+        froms = [max(0, low) for *_, low in part]
+        regions = [codes(texts[t][a : low + width + len(index.items[i][1]) + 1]) for (_, t, i, low), a in zip(part, froms)]
+        edits, ends = band_distances(patterns, regions, np.array([low - a for (*_, low), a in zip(part, froms)]), width)
+        for (e, t, i, _), a, d, end in zip(part, froms, edits.tolist(), ends.tolist()):
+            if d <= e and d < best.get((t, i), (e + 1,))[0]:
+                best[t, i] = (d, max(0, a + end - len(index.items[i][1])), min(a + end, len(texts[t])))
     for (t, i), (edits, start, end) in best.items():
         yield t, i, start, end, edits
 
@@ -170,7 +203,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                 lo = 0
                 while lo < len(texts):  # as many texts at once as make a step
                     hi, size = lo, 0
-                    while hi < len(texts) and size < STEP:
+                    while hi < len(texts) and size < STEP and (hi - lo) * len(index.items) < PAIRS:
                         size += len(texts[hi])
                         hi += 1
                     for t, i, start, stop, edits in matches(index, texts[lo:hi]):
