@@ -20,6 +20,8 @@ from .common import read_documents, shared_path
 SHARDS = 16
 SEED = 20_240_229
 BUCKET_BYTES = 4 << 20
+#: Buckets (a row of 24 bytes each) whose offsets are broadcast; of more, they are joined by shuffle.
+FEW_BUCKETS = 200_000
 
 
 def shard_of(key: str, shards: int, seed: int = SEED) -> Column:
@@ -48,7 +50,8 @@ def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
     rows = spark.read.schema(schema).parquet(path)
     buckets = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     base = buckets.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("base"))
-    return rows.join(base, ["shard", "bucket"]).withColumn("slot", F.col("base") + F.col("place")).drop("base", "place")
+    few = buckets.limit(FEW_BUCKETS + 1).count() <= FEW_BUCKETS
+    return rows.join(F.broadcast(base) if few else base, ["shard", "bucket"]).withColumn("slot", F.col("base") + F.col("place")).drop("base", "place")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
