@@ -29,8 +29,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     endpoints are ignored; an empty table gives an empty result.
     """
     raw = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    loops = raw.where("x = y").select(F.col("x").alias("node")).distinct()
-    e = _cut(raw.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+    given = _cut(raw.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+    loops = given.where("u = v").select(F.col("u").alias("node"))
+    e = given.where("u <> v")
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
