@@ -28,28 +28,33 @@ EVERY = 48
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks from 1 in order."""
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate(([1], (keys[order][1:] != keys[order][:-1]).astype(np.int64)))
+    """Ranks in order: one more than the number of smaller keys."""
+    order = np.argsort(keys)
+    new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
     out = np.empty(len(keys), dtype=np.int64)
-    out[order] = np.cumsum(new)
+    out[order] = np.maximum.accumulate(np.where(new, np.arange(1, len(keys) + 1), 0))
     return out
 
 
 def _doubling(rank: np.ndarray, left: np.ndarray, k: int, longest: int) -> np.ndarray:
     """Refines ranks by the first ``k`` symbols to ranks by whole strings; ``left`` symbols remain of each place's string.
 
-    A string that has ended ranks below any that goes on.
+    A string that has ended ranks below any that goes on. Only places that share their rank are sorted again.
     """
-    count = int(rank.max(initial=0))
-    at = np.arange(len(rank))
-    while k < longest:
-        more = np.where(left > k, rank[np.minimum(at + k, len(rank) - 1)], 0)
-        rank = _ranks(rank * (count + 1) + more)
-        grown = int(rank.max(initial=0))
-        if grown == count:
-            break
-        count, k = grown, 2 * k
+    rank = rank.copy()
+    active = np.flatnonzero(left >= k)
+    while k <= longest and len(active):
+        more = np.where(left[active] > k, rank[np.minimum(active + k, len(rank) - 1)], 0)
+        own = rank[active]
+        order = np.argsort(own * (len(rank) + 1) + more)
+        active, own, more = active[order], own[order], more[order]
+        at = np.arange(len(active))
+        new_own = np.concatenate(([True], own[1:] != own[:-1]))
+        new = new_own | np.concatenate(([True], more[1:] != more[:-1]))
+        rank[active] = own + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(new_own, at, 0))
+        k *= 2
+        alone = new & np.append(new[1:], True)
+        active = active[~alone & (left[active] >= k)]
     return rank
 
 
@@ -80,8 +85,8 @@ def corpus_order(symbols: np.ndarray, offsets: np.ndarray, lengths: np.ndarray,
     left = np.repeat(d_len, d_len) - offset
     eight = octets_at(np.concatenate((letters, np.zeros(TRIGGER - 1, dtype=np.uint8))))
     short = np.minimum(left, TRIGGER).astype(np.uint64)
-    eight &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(TRIGGER) - short)) if total else eight
-    suffix = _doubling(_ranks(eight * np.uint64(1) if not total else _ranks(eight) * 16 + short.astype(np.int64)), left, TRIGGER, int(d_len.max(initial=0)))
+    eight &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(TRIGGER) - short))
+    suffix = _doubling(_ranks(_ranks(eight) * 16 + short.astype(np.int64)), left, TRIGGER, int(d_len.max(initial=0)))
     # Parse: phrases as letters, ranked by their whole string, then by what follows them in the block.
     letter = _ranks(suffix[base][phrase])
     remaining = np.zeros(len(starts), dtype=np.int64)
@@ -92,7 +97,7 @@ def corpus_order(symbols: np.ndarray, offsets: np.ndarray, lengths: np.ndarray,
     q = np.searchsorted(starts, np.arange(n), side="right") - 1
     dictionary = suffix[base[phrase[q]] + np.arange(n) - starts[q]]
     follows = np.where(last[q], 0, np.append(parse, 0)[q + 1])
-    return np.lexsort((follows, dictionary))
+    return np.argsort(dictionary * (len(starts) + 1) + follows)
 
 
 def _repeated(symbols: np.ndarray, offsets: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -104,11 +109,11 @@ def _repeated(symbols: np.ndarray, offsets: np.ndarray, n: np.ndarray) -> np.nda
     order = order[window[order] >= 0]
     h = range_hash(prefix_sums(Bytes(WINDOW).weights(symbols)), order, order + WINDOW)
     near = np.flatnonzero(h[1:] == h[:-1])
-    span = np.arange(WINDOW)
+    strings = np.lib.stride_tricks.sliding_window_view(symbols, WINDOW)
     same = np.zeros(len(near), dtype=bool)
     for lo in range(0, len(near), 4000):
-        x, y = order[near[lo : lo + 4000]], order[near[lo : lo + 4000] + 1]
-        same[lo : lo + 4000] = (symbols[x[:, None] + span] == symbols[y[:, None] + span]).all(axis=1)
+        at = near[lo : lo + 4000]
+        same[lo : lo + 4000] = (strings[order[at]] == strings[order[at + 1]]).all(axis=1)
     out = np.zeros(len(places), dtype=bool)
     out[window[order[near[same]]]] = True
     out[window[order[near[same] + 1]]] = True

@@ -17,6 +17,7 @@ Texts longer than ``SLICE`` symbols are sliced with W - 1 symbols of overlap: ea
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialize, mix64, row_key
+from .common import byte_texts, materialize, mix64, ranges_of, row_key
 
 #: Symbols that one step of a map task works on.
 SLICE = 1 << 20
@@ -255,22 +256,22 @@ def candidate_blocks(spec: Words | Bytes, keyed: DataFrame, filters: tuple[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, hot = shared.value
-        held: dict[tuple[int, int, bytes], list[tuple]] = {}
+        held: dict[tuple[int, int, bytes], array] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int32()), pa.array([k[2] for k in held], pa.binary()),
-                 pa.array([np.array(v, dtype=PLACE).tobytes() for v in held.values()], pa.binary())],
+                 pa.array([v.tobytes() for v in held.values()], pa.binary())],
                 names=["key", "n", "payload", "places"],
             )
 
-        def hold(key: int, n: int, payload: bytes, place: tuple) -> int:
+        def hold(key: int, n: int, payload: bytes, place: tuple[int, int, int]) -> int:
             if (found := held.get((key, n, payload))) is None:
-                held[(key, n, payload)] = [place]
-                return len(payload) + 160
-            found.append(place)
-            return 24
+                held[(key, n, payload)] = array("q", place)
+                return len(payload) + 400
+            found.extend(place)
+            return 32
 
         for symbols, bounds, places in _pieces(spec, batches):
             start, n, key = blocks(spec, symbols, bounds)
@@ -335,19 +336,19 @@ def repeated_ranges(
             got = compare(data, offsets, n[compared])
             target = np.repeat(first[compared] - np.concatenate(([0], np.cumsum(n[compared])))[:-1], n[compared]) + np.arange(len(got))
             flags[target] |= got
-        ids, texts, starts, stops = [], [], [], []
-        for i, place in enumerate(where):
+        # Blocks met in several places are covered whole; of the others, the runs of windows that were marked.
+        places = np.concatenate(where)
+        count = np.array([len(x) for x in where])
+        whole_place = np.repeat(several, count)
+        found = [(places[whole_place], np.zeros(int(whole_place.sum()), dtype=np.int64), np.repeat(n, count)[whole_place])]
+        for i in np.flatnonzero(~several):
             own = flags[first[i] : first[i + 1]]
-            if not own.any():
-                continue
-            edge = np.diff(np.concatenate(([0], own.view(np.int8), [0])))
-            for lo, hi in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                ids.append(place["k_id"])
-                texts.append(place["k_text"])
-                starts.append(place["at"] + lo)
-                stops.append(place["at"] + hi - 1 + W)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, texts, starts, stops)], names=["k_id", "k_text", "start", "stop"])
+            if own.any():
+                lo, hi = ranges_of(own)
+                found.append((np.repeat(where[i], len(lo)), lo, hi))
+        place, lo, hi = (np.concatenate(x) for x in zip(*found))
+        if len(place):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (place["k_id"], place["k_text"], place["at"] + lo, place["at"] + hi - 1 + W)], names=["k_id", "k_text", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes, bytes]] = []
