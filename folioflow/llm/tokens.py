@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 #: Chunks and pieces that one Python worker remembers; beyond it, those not met again are let go.
-CACHE_CHUNKS, CACHE_PIECES = 400_000, 250_000
+CACHE_CHUNKS, CACHE_PIECES = 120_000, 220_000
 
 # The letters, in ASCII and the Latin blocks, whose lower case is one letter and which no normalization changes.
 _LETTER = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňōŏőŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
@@ -70,9 +71,13 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = "".join([self._letters[b] for b in piece.encode()])
-        return np.array([t.id for t in self._model.tokenize(piece)], dtype="<u4").tobytes()
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # of bytes: ASCII letters alone
+            return self._pieces[chunk.lower().decode("ascii")]
+        if chunk[-1] in b".,;:!?" and chunk[:-1].isalpha():
+            return self._pieces[chunk[:-1].lower().decode("ascii")] + self._pieces[chr(chunk[-1])]
         text = chunk.decode("utf-8")
         if _PLAIN.fullmatch(text) is None or "<|" in text:
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
