@@ -17,7 +17,7 @@ count each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ FEATURES = {"f_word": 0.06, "f_symbol": 0.04, "f_repeat": 0.05, "f_upper": 0.04,
 SHARE = 0.75
 STEPS = 8
 LEAST_ROWS = 60
+#: Groups whose estimates are broadcast; of more, they are joined by shuffle.
+FEW_GROUPS = 50_000
 #: Squared distance beyond which a document is rejected: chi-squared with five degrees of freedom exceeds it once in 70 million.
 CUT = 45.0
 #: Median of chi-squared with five degrees of freedom, to which distances are scaled.
@@ -129,12 +131,19 @@ def _invert(estimates: DataFrame, floors: list[float]) -> DataFrame:
     return estimates.mapInPandas(run, schema)
 
 
+def _small(groups: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts a table of a row (some 200 bytes) for each group if there are no more than ``FEW_GROUPS``."""
+    few = groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return F.broadcast if few else lambda df: df
+
+
 def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     """``(grp, scale, m_i, p_i_j)``: MCD location and precision for every ``grp`` of ``vectors``, by concentration steps."""
     names, floors = list(features), list(features.values())
     d = len(names)
+    small = _small(vectors.select("grp").distinct())
     middle = vectors.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"c_{i}") for i, c in enumerate(names)])
-    spread = vectors.join(middle, "grp").groupBy("grp").agg(
+    spread = vectors.join(small(middle), "grp").groupBy("grp").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(f"c_{i}").alias(f"m_{i}") for i in range(d)],
         *[F.percentile_approx(F.abs(F.col(c) - F.col(f"c_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, c in enumerate(names)],
     )
@@ -142,9 +151,9 @@ def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES,
     start = spread.select("grp", "n", F.lit(0.0).alias("logdet"), *[f"m_{i}" for i in range(d)], *[(1 / (F.pow(1.4826 * F.col(f"s_{i}"), 2) + floors[i] ** 2)).alias(f"p_{i}_{i}") for i in range(d)], *zero)
     estimate, last = materialize(start, "mcd"), None
     for _ in range(steps):
-        placed = vectors.join(estimate, "grp").withColumn("d2", _distance(names)).select("grp", "d2", *names, *[F.col(f"m_{i}").alias(f"c_{i}") for i in range(d)])
+        placed = vectors.join(small(estimate), "grp").withColumn("d2", _distance(names)).select("grp", "d2", *names, *[F.col(f"m_{i}").alias(f"c_{i}") for i in range(d)])
         near = placed.groupBy("grp").agg(F.percentile_approx("d2", share, 10_000).alias("most"))
-        kept = placed.join(near, "grp").where("d2 <= most")
+        kept = placed.join(small(near), "grp").where("d2 <= most")
         x = [F.col(c) - F.col(f"c_{i}") for i, c in enumerate(names)]
         sums = kept.groupBy("grp").agg(
             F.count(F.lit(1)).alias("n"), *[F.first(f"c_{i}").alias(f"c_{i}") for i in range(d)], *[F.avg(x[i]).alias(f"e_{i}") for i in range(d)],
@@ -156,7 +165,7 @@ def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES,
             break
         last = total
     # Scaled so that the median distance is that of a normal sample, never below what the floors make of it.
-    scale = vectors.join(estimate, "grp").withColumn("d2", _distance(names)).groupBy("grp").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / MEDIAN5, F.lit(1.0)).alias("scale"))
+    scale = vectors.join(small(estimate), "grp").withColumn("d2", _distance(names)).groupBy("grp").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / MEDIAN5, F.lit(1.0)).alias("scale"))
     return materialize(estimate.drop("n", "logdet").join(scale, "grp"), "mcd")
 
 
@@ -167,11 +176,12 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     language = F.concat(F.coalesce(F.col("lang"), F.lit("\x00")), F.lit("\x01"))
     own = F.concat(language, F.coalesce(F.col("source"), F.lit("\x00")))
     sizes = passed.groupBy(own.alias("own")).count().where(F.col("count") >= least_rows).select("own", F.lit(True).alias("large"))
-    grouped = rows.withColumn("own", own).join(sizes, "own", "left").withColumn("grp", F.when(F.col("large"), F.col("own")).otherwise(language)).drop("own", "large")
+    small = _small(rows.select("lang", "source").distinct())
+    grouped = rows.withColumn("own", own).join(small(sizes), "own", "left").withColumn("grp", F.when(F.col("large"), F.col("own")).otherwise(language)).drop("own", "large")
     vectors = materialize(grouped.where(~F.col("base_failed")).select("grp", *FEATURES), "quality-vectors")
     enough = vectors.groupBy("grp").count().where(F.col("count") >= least_rows).select("grp")
-    estimates = robust_estimates(vectors.join(enough, "grp", "left_semi"))
-    judged = grouped.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES)) / F.col("scale")))
+    estimates = robust_estimates(vectors.join(small(enough), "grp", "left_semi"))
+    judged = grouped.join(small(estimates), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES)) / F.col("scale")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
     return judged.select(*rows.columns, "grp", "distance", kept.alias("kept"))
 
