@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import records
+from folioflow.plans import io, records, scalars, summaries
 
-MODULES = (records,)
+MODULES = (records, scalars, summaries, io)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
