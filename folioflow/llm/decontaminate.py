@@ -187,8 +187,11 @@ _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("s
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", name: str = "found", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with an array of the items found in each text, in order of item id."""
-    columns = docs.columns if keep is None else keep
+    """``docs`` (or its columns ``keep``) with an array of the items found in each text, in order of item id.
+
+    A column of ``docs`` that is called ``name`` itself gives way.
+    """
+    columns = [c for c in (docs.columns if keep is None else keep) if c != name]
     kind = FOUND.split(" ", 1)[1]
     out = docs.select(*columns, F.col(text_col).alias("__text"), F.expr(f"cast(array() as {kind})").alias(name))
     place = len(columns)
