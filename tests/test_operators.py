@@ -1,0 +1,65 @@
+"""The planted cases of the record, graph and source operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioflow.operators import graph, records
+from folioflow.sources import bibliography
+from folioflow.streaming import incremental
+
+
+def test_doi_variants(spark):
+    given = ["https://doi.org/10.1000/X1.", "10.1000/x1", "http://doi.org/10.1000/x1/", "https://dx.doi.org/10.1000/x1"]
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in given], "d string").select(records.norm_doi(F.col("d"))).collect()]
+    assert found[:3] == ["10.1000/x1"] * 3 and found[3] != "10.1000/x1"
+
+
+def test_winner_is_published_then_richest(spark):
+    rows = [(1, "NBER Working Paper", "x" * 500, "10.1/a", "s1"), (2, "Journal", "x" * 10, "10.1/A", "s2"), (3, "Journal", "x" * 200, "https://doi.org/10.1/a", "s1"), (4, "Journal", "", "", "s3")]
+    found = {r["doi_key"]: r for r in records.doi_groups(spark.createDataFrame(rows, "doc_id long, journal string, abstract string, doi string, source string")).collect()}
+    assert found["10.1/a"]["winner"] == 3 and found["10.1/a"]["sources"] == "s1,s2" and found["#4"]["winner"] == 4
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(1, 200)] + [(500, 501), (501, 500), (700, 700), (None, 3)]
+    found = dict(graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect())
+    assert all(found[i] == 1 for i in range(1, 201)) and found[501] == 500 and found[700] == 700 and len(found) == 203
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_verdicts(spark):
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (0, 2)], "i long, j long")
+    given = spark.createDataFrame([(1, 0, "no", 1), (1, 0, "yes", 2), (5, 5, "yes", 3), (0, 99, "yes", 4)], "a long, b long, verdict string, ord int")
+    assert {(r["i"], r["j"]): r["verdict"] for r in records.verdict_join(pairs, given).collect()} == {(0, 1): "yes", (1, 2): "no", (0, 2): "no"}
+
+
+def test_audit_status(spark):
+    entries = spark.createDataFrame([(1, ["a", "study", "of", "widgets"]), (2, ["other", "study", "x", "y"]), (3, ["none"])], "id long, words array<string>")
+    index = spark.createDataFrame([(9, ["a", "study", "of", "widgets"])], "id long, words array<string>")
+    assert {r["id"]: r["status"] for r in records.audit_status(entries, index).collect()} == {1: "verified", 2: "hallucinated", 3: "unverified"}
+
+
+def test_garbled_runs(spark):
+    lines = ["A long sentence that stays where it is, of course."] + ["(d)", "a", "", "b", "{3 *", "xx", "yyy"] + ["Another long sentence that also stays here."] + ["Ann", "Bob", "Eve"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "doc_id long, line_no int, line string")
+    kept = [r["line"] for r in records.garbled_runs(df, F.length("line") <= 26, F.length("line") <= 3, F.trim("line") == "").orderBy("line_no").collect()]
+    assert kept == [lines[0], lines[8], "Ann", "Bob", "Eve"]
+
+
+def test_ris_and_bibtex_text(spark, tmp_path):
+    (tmp_path / "a.ris").write_text("TY  - JOUR\nTI  - One\nAU  - A, B\nAU  - C, D\nPY  - 2020\nER  - \nTY  - RPRT\nTI  - Two\nER  - \n")
+    found = bibliography.read_ris(spark, f"file://{tmp_path}/a.ris").collect()
+    assert [(r["type"], r["title"], r["authors"], r["doi"]) for r in found] == [("JOUR", "One", "A, B; C, D", ""), ("RPRT", "Two", "", "")]
+    (tmp_path / "a.bib").write_text('@article{smith2020, title = {On Widgets}, author="Smith, A", year = 2020}\n@techreport{jones,\n  title={T},\n  doi = {10.1/x}\n}\n')
+    found = bibliography.read_bibtex(spark, f"file://{tmp_path}/a.bib").collect()
+    assert [(r["entry_type"], r["cite_key"], r["title"], r["year"], r["doi"]) for r in found] == [("article", "smith2020", "On Widgets", "2020", ""), ("techreport", "jones", "T", "", "10.1/x")]
+
+
+def test_stream_resumes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    rows.write.parquet(f"file://{tmp_path}/in/1")
+    run = lambda: incremental.checkpointed_append(incremental.stream_files(spark, f"file://{tmp_path}/in/*", rows.schema), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
+    run()
+    run()
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
