@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Chunks and pieces that one Python worker remembers; beyond it, those not met again are let go.
-CACHE_CHUNKS, CACHE_PIECES = 120_000, 220_000
+CACHE_CHUNKS, CACHE_PIECES = 200_000, 300_000
 
 # The letters, in ASCII and the Latin blocks, whose lower case is one letter and which no normalization changes.
 _LETTER = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįĵķĺļľłńņňōŏőŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
