@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """A written table in the shared folder; an iteration then restarts from files, not from its whole history."""
     spark = df.sparkSession
     if not (root := spark.conf.get("spark.checkpoint.dir", None)):
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     endpoints are ignored; an empty table gives an empty result.
     """
     raw = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-    given = _cut(raw.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+    given = cut(raw.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
     loops = given.where("u = v").select(F.col("u").alias("node"))
     e = given.where("u <> v")
     state = None
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = _cut(small.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = cut(small.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == state:
             break
@@ -56,12 +56,12 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, src: str = "src", dst: s
 
     Each level is one join of the frontier with the edges and one anti-join with what was reached; seeds are level 0.
     """
-    reached = _cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().select("node", F.lit(0).alias("level")), "bfs")
+    reached = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().select("node", F.lit(0).alias("level")), "bfs")
     frontier = reached
     pairs = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).where("to is not null")
     for level in range(1, depth + 1):
         new = frontier.join(pairs, "node").select(F.col("to").alias("node")).distinct().join(reached, "node", "left_anti")
-        frontier = _cut(new.select("node", F.lit(level).alias("level")), "bfs")
+        frontier = cut(new.select("node", F.lit(level).alias("level")), "bfs")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)

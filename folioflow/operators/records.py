@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def norm_doi(c: Column) -> Column:
     """Resolver prefix off, lower case, trailing ``/`` and ``.`` off."""
@@ -38,13 +40,64 @@ def doi_groups(works: DataFrame) -> DataFrame:
     return keyed.groupBy("doi_key").agg(F.min_by("doc_id", rank).alias("winner"), F.count(F.lit(1)).alias("n_records"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-def candidate_pairs(rows: DataFrame, id_col: str, key_col: str, most: int = 50) -> DataFrame:
-    """``(i, j)`` with i < j for rows that share an element of the array ``key_col``; elements of more than ``most``
-    rows are no blocking key (they are stop words, and would pair everything)."""
-    each = rows.select(F.col(id_col).alias("id"), F.explode(key_col).alias("k"))
-    rare = each.groupBy("k").count().where(F.col("count").between(2, most)).select("k")
-    left = each.join(rare, "k")
-    return left.alias("a").join(left.alias("b"), F.expr("a.k = b.k and a.id < b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+def word_classes(rows: DataFrame, id_col: str, words_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of equal word sets as one: classes (rep, words) under the smallest id, and members (rep, id) but for ``rep``
+    itself. Rows without words are in neither."""
+    sets = rows.where(F.size(words_col) > 0).select(F.col(id_col).alias("id"), F.array_sort(words_col).alias("words"))
+    classes = sets.groupBy("words").agg(F.min("id").alias("rep")).select("rep", "words")
+    members = sets.join(classes, "words").where("id <> rep").select("rep", "id")
+    return classes, members
+
+
+def similar_pairs(classes: DataFrame, share: float = 0.4) -> DataFrame:
+    """``(i, j)``, i < j, of the classes whose words' Jaccard exceeds ``share``; none is lost and no stop word is skipped.
+
+    Words are ordered from rare to common. Two similar sets share one of the first n - floor(share * n) of each, and where
+    they first meet enough words must be left on both sides; common words stand last, so they rarely pair anything.
+    """
+    each = classes.select("rep", F.explode("words").alias("w"))
+    rarity = each.groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    ordered = each.join(rarity, "w").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("o"))
+    n = F.size("o")
+    heads = ordered.select("rep", n.alias("n"), F.posexplode(F.slice(F.col("o.w"), F.lit(1), (n - F.floor(n * share)).cast("int"))).alias("p", "w"))
+    need = share / (1 + share)
+    meet = F.expr("a.w = b.w and a.rep < b.rep") & (1 + F.least(F.expr("a.n - a.p - 1"), F.expr("b.n - b.p - 1")) > F.expr("a.n + b.n") * need - 1e-9)
+    met = heads.alias("a").join(heads.alias("b"), meet).select(F.col("a.rep").alias("i"), F.col("b.rep").alias("j")).distinct()
+    one, two = (classes.select(F.col("rep").alias(k), F.col("words").alias(f"w{k}")) for k in "ij")
+    return met.join(one, "i").join(two, "j").where(jaccard(F.col("wi"), F.col("wj")) > share).select("i", "j")
+
+
+def first_links(rows: DataFrame, id_col: str, keys_col: str) -> DataFrame:
+    """``(i, j)``: each row linked to the smallest id of every element of its array; as many links as rows and elements,
+    and the same connected rows as all pairs would have."""
+    each = rows.select(F.col(id_col).alias("j"), F.explode(F.array_distinct(keys_col)).alias("k"))
+    return each.join(each.groupBy("k").agg(F.min("j").alias("i")), "k").where("i < j").select("i", "j").distinct()
+
+
+def first_of_either_key(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """``rows`` without each row that shares a key with an earlier kept one, exactly as one pass in ``order`` decides.
+
+    ``order`` must be unique. Null and empty keys match nothing. Every round keeps the rows that come first among the
+    undecided of all their keys and drops those that share a key with a kept row, by partial minima; a round is written
+    before the next. Rounds are as many as the longest chain of such decisions, two or three as a rule.
+    """
+    named = [F.when(F.col(k) != "", F.concat(F.lit(f"{n}:"), F.col(k).cast("string"))) for n, k in enumerate(keys)]
+    left = cut(rows.select(F.col(order).alias("o"), F.array_compact(F.array(*named)).alias("ks")), "either")
+    kept = left.where("size(ks) = 0").select("o")
+    left = left.where("size(ks) > 0")
+    while True:
+        each = left.select("o", F.explode("ks").alias("k"))
+        least = each.groupBy("k").agg(F.min("o").alias("m"))
+        leads = each.join(least, "k").groupBy("o").agg(F.bool_and(F.col("o") == F.col("m")).alias("lead"))
+        marked = cut(left.join(leads, "o"), "either")
+        won = marked.where("lead")
+        kept = kept.unionByName(won.select("o"))
+        taken = won.select(F.explode("ks").alias("k")).distinct()
+        others = marked.where("not lead").select("o", "ks")
+        gone = others.select("o", F.explode("ks").alias("k")).join(taken, "k", "left_semi").select("o").distinct()
+        left = cut(others.join(gone, "o", "left_anti"), "either")
+        if left.isEmpty():
+            return rows.join(kept.withColumnRenamed("o", order), order, "left_semi").select(*rows.columns)
 
 
 def verdict_join(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:

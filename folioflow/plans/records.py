@@ -48,21 +48,44 @@ _WORDS_SQL = "(SELECT doc_id, list_distinct([x for x in string_split(regexp_repl
 
 
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that share a rare word and more than 0.4 of their words."""
-    ws = _title_words(spark, sf_dir)
-    pairs = R.candidate_pairs(ws, "doc_id", "ws", 20)
-    a, b = ws.select(F.col("doc_id").alias("i"), F.col("ws").alias("wa")), ws.select(F.col("doc_id").alias("j"), F.col("ws").alias("wb"))
-    return pairs.join(a, "i").join(b, "j").where(R.jaccard(F.col("wa"), F.col("wb")) > 0.4).select("i", "j")
+    """Titles of more than 0.4 common words: pairs of distinct word sets, each under its smallest id, and that id with
+    every other row of its set."""
+    classes, members = R.word_classes(_title_words(spark, sf_dir), "doc_id", "ws")
+    return R.similar_pairs(classes).unionByName(members.select(F.col("rep").alias("i"), F.col("id").alias("j")))
 
 
 _PAIRS_SQL = f"""
-WITH w AS {_WORDS_SQL}, e AS (SELECT doc_id, unnest(ws) AS k FROM w), rare AS (SELECT k FROM e GROUP BY k HAVING count(*) BETWEEN 2 AND 20),
-p AS (SELECT DISTINCT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON a.k = b.k AND a.doc_id < b.doc_id WHERE a.k IN (SELECT k FROM rare)),
-q AS (SELECT i, j, len(list_intersect(a.ws, b.ws)) AS nn, len(a.ws) AS na, len(b.ws) AS nb FROM p JOIN w a ON a.doc_id = i JOIN w b ON b.doc_id = j)
-SELECT i, j FROM q WHERE nn * 1.0 / (na + nb - nn) > 0.4
+WITH w AS {_WORDS_SQL}, s AS (SELECT doc_id, list_sort(ws) AS ws FROM w WHERE len(ws) > 0), c AS (SELECT min(doc_id) AS rep, ws, len(ws) AS n FROM s GROUP BY ws),
+q AS (SELECT a.rep AS i, b.rep AS j, len(list_intersect(a.ws, b.ws)) AS nn, a.n AS na, b.n AS nb FROM c a JOIN c b ON a.rep < b.rep AND a.n > 0.4 * b.n AND b.n > 0.4 * a.n)
+SELECT i, j FROM q WHERE nn * 1.0 / (na + nb - nn) > 0.4 UNION ALL SELECT c.rep, s.doc_id FROM s JOIN c ON s.ws = c.ws WHERE s.doc_id <> c.rep
 """
 B.add("candidate_pairs", candidate_pairs, _PAIRS_SQL)
 
+_SURNAMES_SQL = r"[y for y in [regexp_replace(lower(regexp_extract(trim(x), '[^ ]+$', 0)), '[^a-z0-9]', '', 'g') for x in regexp_split_to_array(authors, '; *|, *| and ')] if length(y) >= 2]"
+
+
+def surname_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each work with the first one of every surname among its authors."""
+    return R.first_links(works(spark, sf_dir).select("doc_id", R.surnames(F.col("authors")).alias("names")), "doc_id", "names")
+
+
+B.add("surname_links", surname_links, "WITH e AS (SELECT doc_id, unnest(" + _SURNAMES_SQL + ") AS k FROM {works} w), f AS (SELECT k, min(doc_id) AS i FROM e GROUP BY 1) SELECT DISTINCT i, doc_id AS j FROM e JOIN f USING (k) WHERE i < doc_id")
+
+
+def either_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works left when each one that shares a DOI or a title with an earlier kept one is dropped."""
+    keyed = works(spark, sf_dir).select("doc_id", R.norm_doi(F.col("doi")).alias("k1"), F.trim(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9 ]", ""), " +", " ")).alias("k2"))
+    return R.first_of_either_key(keyed, "doc_id", ["k1", "k2"]).select("doc_id")
+
+
+B.add("either_key_dedup", either_key_dedup, rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, [k for k in [concat('1', k1), concat('2', k2)] if length(k) > 1] AS ks
+  FROM (SELECT w.doc_id, regexp_replace(lower(trim(regexp_replace(trim(doi), '^https?://doi[.]org/', ''))), '[/.]+$', '') AS k1, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS k2 FROM {{works}} w)),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS BIGINT) AS doc_id, false AS kept
+  UNION ALL SELECT t.n, CASE WHEN list_has_any(r.seen, t.ks) THEN r.seen ELSE list_concat(r.seen, t.ks) END, t.doc_id, NOT list_has_any(r.seen, t.ks) FROM r JOIN t ON t.n = r.n + 1)
+SELECT doc_id FROM r WHERE kept
+""")
+
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works joined by candidate pairs, merged transitively."""

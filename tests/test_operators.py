@@ -63,3 +63,36 @@ def test_stream_resumes(spark, tmp_path):
     run()
     run()
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+
+
+def test_similar_pairs_against_all(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = [sorted({f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(0, 12))}) for _ in range(150)] + [["x"], ["x"], []]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, ws array<string>")
+    classes, members = records.word_classes(df, "id", "ws")
+    first = {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(tuple(s), i)
+    want = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) > 0.4}
+    assert {tuple(r) for r in records.similar_pairs(classes).collect()} == want and len(want) > 50
+    assert {tuple(r) for r in members.collect()} == {(first[tuple(s)], i) for i, s in enumerate(sets) if s and first[tuple(s)] != i}
+    assert records.similar_pairs(classes.where("false")).count() == 0
+
+
+def test_first_of_either_key(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["", None, *(f"d{k}" for k in range(40))]), rng.choice(["", *(f"t{k}" for k in range(60))])) for i in range(200)]
+    seen, want = set(), []
+    for i, d, t in rows:
+        keys = {("d", d), ("t", t)} - {("d", ""), ("d", None), ("t", "")}
+        if not keys & seen:
+            seen |= keys
+            want.append(i)
+    df = spark.createDataFrame(rows, "o long, d string, t string")
+    assert sorted(r["o"] for r in records.first_of_either_key(df, "o", ["d", "t"]).collect()) == want
+    assert records.first_of_either_key(df.where("false"), "o", ["d", "t"]).count() == 0
