@@ -79,7 +79,7 @@ def either_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 B.add("either_key_dedup", either_key_dedup, rf"""
-WITH RECURSIVE t AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, [hash(k) for k in [concat('1', k1), concat('2', k2)] if length(k) > 1] AS ks
+WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, [hash(k) for k in [concat('1', k1), concat('2', k2)] if length(k) > 1] AS ks
   FROM (SELECT w.doc_id, regexp_replace(lower(trim(regexp_replace(trim(doi), '^https?://doi[.]org/', ''))), '[/.]+$', '') AS k1, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS k2 FROM {{works}} w)),
 r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS UBIGINT[]) AS seen, CAST(NULL AS BIGINT) AS doc_id, false AS kept
   UNION ALL SELECT t.n, CASE WHEN list_has_any(r.seen, t.ks) THEN r.seen ELSE list_concat(r.seen, t.ks) END, t.doc_id, NOT list_has_any(r.seen, t.ks) FROM r JOIN t ON t.n = r.n + 1)

@@ -23,6 +23,9 @@ S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 SYMBOLS = {"F02A": "*", "F020": "†", "F021": "‡", "F0A7": "§"}
 
+#: Rows that go to Spark together.
+ROWS = 4096
+
 PARAGRAPHS = "path string, body_child int, paragraph int, in_document int, style string, text string"
 CELLS = "path string, tbl int, row int, cell int, text string"
 COMMENTS = "path string, comment_id string, source_id string, author string, date string, text string, paragraph int"
@@ -81,13 +84,17 @@ def reader(schema: str, parse: Callable[[zipfile.ZipFile], Iterator[tuple]]) ->
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows = list(parse(open_archive(content or b"")))
+                    held += [(path, *r) for r in list(parse(open_archive(content or b"")))]
                 except BadArchive:
                     continue
-                yield pd.DataFrame([(path, *r) for r in rows], columns=names).astype(object)
+                if len(held) >= ROWS:
+                    yield pd.DataFrame(held, columns=names).astype(object)
+                    held = []
+        yield pd.DataFrame(held, columns=names).astype(object)
 
     def over(files: DataFrame) -> DataFrame:
         return files.select("path", "content").mapInPandas(run, schema)
