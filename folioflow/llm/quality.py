@@ -4,8 +4,9 @@ Each document gets a vector of transformed text statistics. Per language and sou
 is estimated over all documents that pass the base rules: from coordinate-wise medians and deviations, concentration
 steps keep the ``SHARE`` of rows nearest to the estimate and estimate anew, which never raises the determinant. Every
 step is one pass of sums over the small table of vectors, pre-aggregated per task, so a source with a third of all rows
-costs no more than its rows; groups under ``LEAST_ROWS`` share an estimate per language, and languages under it are judged
-by the base rules alone. Documents whose squared Mahalanobis distance exceeds ``CUT`` are rejected.
+costs no more than its rows. Sources under ``LEAST_ROWS`` are judged by the estimate of all passing rows of their
+language, languages under it by that of all passing rows, so that every document that passes the base rules gets a
+distance. Documents whose squared Mahalanobis distance exceeds ``CUT`` are rejected.
 
 Text statistics are often constant (no symbols at all), which would make any covariance singular: each variance gets the
 square of a floor, the difference in that statistic that never matters by itself.
@@ -35,6 +36,8 @@ FEATURES = {"f_word": 0.06, "f_symbol": 0.04, "f_repeat": 0.05, "f_upper": 0.04,
 SHARE = 0.75
 STEPS = 8
 LEAST_ROWS = 60
+#: The group of all rows.
+ALL_ROWS = "\x03"
 #: Groups whose estimates are broadcast; of more, they are joined by shuffle.
 FEW_GROUPS = 50_000
 #: Squared distance beyond which a document is rejected: chi-squared with five degrees of freedom exceeds it once in 70 million.
@@ -170,17 +173,22 @@ def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES,
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """A row per document: statistics, ``base_failed``, ``distance`` (null where not judged) and ``kept``."""
+    """A row per document: statistics, ``base_failed``, ``distance`` (null where the base rules failed) and ``kept``."""
     rows = materialize(text_statistics(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col).withColumn("base_failed", base_failed()), "quality")
     passed = rows.where(~F.col("base_failed"))
-    language = F.concat(F.coalesce(F.col("lang"), F.lit("\x00")), F.lit("\x01"))
-    own = F.concat(language, F.coalesce(F.col("source"), F.lit("\x00")))
-    sizes = passed.groupBy(own.alias("own")).count().where(F.col("count") >= least_rows).select("own", F.lit(True).alias("large"))
-    small = _small(rows.select("lang", "source").distinct())
-    grouped = rows.withColumn("own", own).join(small(sizes), "own", "left").withColumn("grp", F.when(F.col("large"), F.col("own")).otherwise(language)).drop("own", "large")
-    vectors = materialize(grouped.where(~F.col("base_failed")).select("grp", *FEATURES), "quality-vectors")
-    enough = vectors.groupBy("grp").count().where(F.col("count") >= least_rows).select("grp")
-    estimates = robust_estimates(vectors.join(small(enough), "grp", "left_semi"))
+    # The last characters keep the groups of the three levels apart, whatever the names are.
+    language = F.concat(F.coalesce(F.col("lang"), F.lit("\x00")), F.lit("\x02"))
+    own = F.concat(F.coalesce(F.col("lang"), F.lit("\x00")), F.lit("\x01"), F.coalesce(F.col("source"), F.lit("\x00")), F.lit("\x01"))
+    sizes = materialize(passed.groupBy(own.alias("own"), language.alias("language")).count(), "quality-sizes")
+    small = _small(sizes)
+    by_language = sizes.groupBy("language").agg(F.sum("count").alias("n"))
+    level = F.when(F.col("count") >= least_rows, F.col("own")).when(F.col("n") >= least_rows, F.col("language")).otherwise(F.lit(ALL_ROWS))
+    chosen = materialize(sizes.join(small(by_language), "language").select("own", level.alias("grp")), "quality-groups")
+    grouped = rows.withColumn("own", own).join(small(chosen), "own", "left").drop("own")
+    # A language's estimate takes all its rows, those of its large sources too.
+    every = passed.select(F.explode(F.array(own, language, F.lit(ALL_ROWS))).alias("grp"), *FEATURES)
+    vectors = materialize(every.join(small(chosen.select("grp").distinct()), "grp", "left_semi"), "quality-vectors")
+    estimates = robust_estimates(vectors)
     judged = grouped.join(small(estimates), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES)) / F.col("scale")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
     return judged.select(*rows.columns, "grp", "distance", kept.alias("kept"))
