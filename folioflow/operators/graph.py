@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder; an iteration then restarts from files, not from its whole history."""
-    spark = df.sparkSession
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/folioflow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from folioflow.shared import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -30,8 +18,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     raw = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     given = cut(raw.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
-    loops = given.where("u = v").select(F.col("u").alias("node"))
-    e = given.where("u <> v")
+    loops = cut(given.where("u = v").select(F.col("u").alias("node")), "loops")
+    held, e = given, given.where("u <> v")
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,6 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(small.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(held)
+        held = e
         now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == state:
             break

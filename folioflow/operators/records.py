@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from folioflow.shared import cut, discard
 
 
 def norm_doi(c: Column) -> Column:
@@ -31,12 +31,17 @@ def surnames(c: Column) -> Column:
 
 
 def doi_groups(works: DataFrame) -> DataFrame:
-    """One row per DOI (published before forthcoming before working paper, then longer abstract) with its sources;
-    rows without a DOI pass through as groups of one. Aggregates partially, so a common DOI is no hot task."""
-    tier = F.when(F.lower("journal").contains("working paper"), 2).when(F.lower("journal").contains("forthcoming"), 1).otherwise(0)
-    key = norm_doi(F.col("doi"))
-    keyed = works.withColumn("doi_key", F.when(key == "", F.concat(F.lit("#"), F.col("doc_id").cast("string"))).otherwise(key))
-    rank = F.struct(tier, -F.length("abstract"), F.col("doc_id"))
+    """One row per DOI (published before forthcoming before working paper, then longer abstract, then smaller id) with its
+    sources. Aggregates partially, so a common DOI is no hot task.
+
+    Cases: rows whose DOI is null, blank or nothing but a resolver's address pass through as groups of one, under ``#``
+    and their id; a null abstract counts as empty, a null journal as published; null sources are in no list.
+    """
+    journal = F.lower(F.coalesce("journal", F.lit("")))
+    tier = F.when(journal.contains("working paper"), 2).when(journal.contains("forthcoming"), 1).otherwise(0)
+    key = F.coalesce(norm_doi(F.col("doi")), F.lit(""))
+    keyed = works.withColumn("doi_key", F.when(key == "", F.concat(F.lit("#"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(key))
+    rank = F.struct(tier, -F.length(F.coalesce("abstract", F.lit(""))), F.col("doc_id"))
     return keyed.groupBy("doi_key").agg(F.min_by("doc_id", rank).alias("winner"), F.count(F.lit(1)).alias("n_records"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 

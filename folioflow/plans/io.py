@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.shared import shared_path
 from folioflow.sources import bibliography as S
 from folioflow.streaming import incremental as I
 
@@ -16,24 +14,19 @@ from .dual import Book, works
 B = Book()
 
 
-def _path(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
-    return f"{root.rstrip('/')}/folioflow-{name}-{uuid.uuid4().hex}"
-
-
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.trim(F.regexp_replace(F.regexp_replace(F.col("title"), r"[{}&@]", ""), r"\s+", " "))
     return works(spark, sf_dir).select(F.concat(F.lit("k"), "doc_id").alias("cite_key"), title.alias("title"), F.regexp_replace("authors", " and ", "; ").alias("authors"), "year", F.trim("doi").alias("doi"))
 
 
 def ris_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _path(spark, "ris")
+    path = shared_path(spark, "ris")
     S.to_ris(_titled(spark, sf_dir)).write.text(path)
     return S.read_ris(spark, path).select("title", "authors", "year", "doi")
 
 
 def bibtex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _path(spark, "bib")
+    path = shared_path(spark, "bib")
     S.to_bibtex(_titled(spark, sf_dir)).write.text(path)
     return S.read_bibtex(spark, path).select("cite_key", "title", F.regexp_replace("authors", " and ", "; ").alias("authors"), "year", "doi")
 
@@ -64,7 +57,7 @@ B.add("table_rows", table_rows)
 
 def stream_checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events appended by a checkpointed file stream, run twice: the second run finds nothing new."""
-    source, out, check = _path(spark, "in"), _path(spark, "out"), _path(spark, "check")
+    source, out, check = shared_path(spark, "in"), shared_path(spark, "out"), shared_path(spark, "check")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.write.parquet(source)
     for _ in range(2):

@@ -32,9 +32,9 @@ SELECT doc_id, (length(text) - length(replace(text, '$$', ''))) / 2 AS n_math, (
 
 # Rankings
 B.dual("top_seeds", r"""
-SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM (SELECT * FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 40)) WHERE o_orderkey % 2 = 0 ORDER BY rn LIMIT 20
+SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderkey % 2 = 0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20
 """, "orders")
-B.dual("score_filter_rank", "SELECT doc_id, score, title FROM {works} WHERE score >= 4 ORDER BY score DESC, doc_id LIMIT 100")
+B.dual("score_filter_rank", "SELECT doc_id, score, title FROM {works} WHERE score >= 4")
 B.dual("winner_rank", r"""
 SELECT doc_id, doi_key, rn FROM (
   SELECT doc_id, doi_key, row_number() OVER (PARTITION BY doi_key ORDER BY tier, abs_len DESC, filled DESC, doc_id) AS rn FROM (

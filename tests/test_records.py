@@ -21,6 +21,14 @@ def test_winner_is_published_then_richest(spark):
     assert found["10.1/a"]["winner"] == 3 and found["10.1/a"]["sources"] == "s1,s2" and found["#4"]["winner"] == 4
 
 
+def test_null_dois_and_abstracts(spark):
+    rows = [(1, None, None, None, "s1"), (2, None, None, None, "s2"), (3, "J", None, "10.1/b", "s1"), (4, None, "long enough", "10.1/B", None), (5, "J", "x", " ", "s1"), (6, "J", "x", "https://doi.org/", "s1")]
+    found = {r["doi_key"]: r for r in records.doi_groups(spark.createDataFrame(rows, "doc_id long, journal string, abstract string, doi string, source string")).collect()}
+    assert set(found) == {"#1", "#2", "10.1/b", "#5", "#6"} and all(found[k]["n_records"] == 1 for k in ("#1", "#2", "#5"))
+    assert found["10.1/b"]["winner"] == 4 and found["10.1/b"]["sources"] == "s1"
+    assert records.doi_groups(spark.createDataFrame([], "doc_id long, journal string, abstract string, doi string, source string")).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 200)] + [(500, 501), (501, 500), (700, 700), (None, 3)]
     found = dict(graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect())
