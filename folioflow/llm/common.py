@@ -2,40 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.shared import cut as materialize
+from folioflow.shared import discard, fresh, shared_path  # noqa: F401
+
 #: The separators of ``[^\x20\x09-\x0D]+``; ``bytes.split()`` uses exactly these.
 WORD_SEPARATORS = b" \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, local runs) a folder of this machine is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/folioflow-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files every executor can reach."""
-    path = shared_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A key is heavy if it has more than one in ``HEAVY`` of all rows (and more than ``HEAVY_LEAST``): there are fewer than
+#: ``HEAVY`` such keys whatever the data, so a table of them may be broadcast.
+HEAVY, HEAVY_LEAST = 4096, 1024
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +30,34 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     ]
 
 
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """``docs`` with :func:`row_key` under names that none of its columns has, and these names."""
+    names = [fresh(docs.columns, n) for n in ("k_id", "k_text")]
+    return docs.select("*", *(c.alias(n) for c, n in zip(row_key(id_col, text_col), names))), names
+
+
+def heavy_keys(counts: DataFrame, total: int, least: int = HEAVY_LEAST) -> DataFrame:
+    """``(key columns, parts)``: the heavy keys of ``counts`` (key columns, n), whose n sum up to ``total`` or less, and
+    into how many parts each is to be dealt so that none has more rows than the limit. Fewer than ``HEAVY`` rows."""
+    most = max(least, -(-total // HEAVY))
+    return counts.where(F.col("n") > most).select(*(c for c in counts.columns if c != "n"), F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner", heavy_on: list[str] | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` (of one row per key) on ``keys``; both have only these columns in common, without nulls.
+
+    Rows of a heavy key (:func:`heavy_keys`; by the columns ``heavy_on`` if not by all keys) are dealt over its parts, and
+    the key's row of ``table`` is repeated for each part. Parts add up to less than two in ``HEAVY``, so little is repeated.
+    """
+    on = heavy_on or keys
+    parts, salt = fresh([*rows.columns, *table.columns], "parts"), fresh([*rows.columns, *table.columns], "salt")
+    few = F.broadcast(heavy.select(*on, F.col("parts").alias(parts)))
+    dealt = rows.join(few, on, "left").withColumn(salt, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(parts).cast("long")), F.lit(0).cast("long")))
+    repeated = table.join(few, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(parts).cast("long") - 1, F.lit(0).cast("long")))))
+    columns = [*rows.columns, *(c for c in table.columns if c not in keys)]
+    return dealt.drop(parts).join(repeated.drop(parts).hint("shuffle_hash"), [*keys, salt], how).select(*columns)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     if not pa.types.is_large_binary(column.type) and not pa.types.is_binary(column.type):

@@ -4,18 +4,22 @@ A stretch of a document within ``e`` edits of a benchmark item of ``m`` characte
 of its q-grams with it, on diagonals that lie within ``e`` of each other. Documents are read once: the places of their
 q-grams are looked up in an index of the benchmark's, hits are counted per item in bands of ``2e + 1`` diagonals that
 overlap by half (so one band holds all hits of a match), and bands that reach the lemma's bound are verified by
-alignment within the band. Both sides are lower-cased with white space collapsed.
+alignment within the band. Both sides are lower-cased with white space collapsed; spans are given in the original text.
 
-The index is broadcast: items come to the driver in blocks of at most ``BLOCK_CHARS`` characters, and a larger benchmark
-takes one reading of the documents for each block.
+The lemma holds from ``q`` characters on. Shorter items share no q-gram; they are looked for exactly, as whole words.
 
-Cases: null texts and items match nothing, as do items of less than ``LEAST`` characters; equal items are all reported;
-repeated rows are each reported; an empty table on either side matches nothing; other columns pass through
-:func:`drop_contaminated`.
+The index is broadcast: items come to the driver in blocks of at most ``BLOCK_CHARS`` characters (and one item). A larger
+benchmark takes one reading of the documents for each block, whose findings are written and whose index is given up
+before the next one is made.
+
+Cases: null and blank texts and items match nothing; equal items are all reported; repeated rows are each reported; an
+empty table on either side matches nothing; the columns of documents pass through, and where one of them is called like
+the column of matches, that one gets a longer name (:func:`folioflow.shared.fresh`).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read_documents
+from .common import fresh, materialize, mix64, read_documents
 
 Q = 8
 #: Edits allowed for each character of an item.
 EDIT_SHARE = 0.1
-#: Shortest item that is looked for: shorter ones are ordinary phrases.
-LEAST = 24
 BLOCK_CHARS = 4_000_000
 #: Characters, and pairs of a text and an item, that one step works on.
 STEP, PAIRS = 1 << 19, 1 << 22
@@ -40,6 +42,17 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def origins(text: str) -> list[int]:
+    """For every character of ``normal(text)`` the place in ``text`` that it comes from."""
+    out: list[int] = []
+    for m in re.finditer(r"\S+", text):
+        if out:
+            out.append(m.start() - 1)
+        for k in range(m.start(), m.end()):
+            out += [k] * len(text[k].lower())  # one letter can become two
+    return out
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -57,14 +70,20 @@ def qgram_hashes(code: np.ndarray) -> np.ndarray:
 
 def edits_allowed(m: int) -> int:
     """A tenth of the length, or less where the lemma would ask for no shared q-gram at all."""
-    return min(int(EDIT_SHARE * m), (m - Q) // Q)
+    return max(0, min(int(EDIT_SHARE * m), (m - Q) // Q))
 
 
 class Index:
     """q-grams of a block of items, by hash."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= LEAST]
+        named = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
+        self.items = [x for x in named if len(x[1]) >= Q]
+        self.short: dict[str, list[int | None]] = {}
+        for i, t in named:
+            if len(t) < Q:
+                self.short.setdefault(t, []).append(i)
+        self.short_words = [re.compile(rf"(?<!\S){re.escape(t)}(?!\S)") for t in self.short]
         self.length = np.array([len(t) for _, t in self.items], dtype=np.int64)
         self.edits = np.array([edits_allowed(len(t)) for _, t in self.items], dtype=np.int64)
         self.bound = self.length - Q + 1 - Q * self.edits
@@ -119,6 +138,14 @@ def band_distances(patterns: list[np.ndarray], texts: list[np.ndarray], low: np.
     return row[np.arange(len(row)), best], m + low + best
 
 
+def short_matches(index: Index, text: str) -> Iterator[tuple[int | None, int, int]]:
+    """``(item id, start, end)`` of the first place of each item of fewer than ``Q`` characters."""
+    for (t, ids), pattern in zip(index.short.items(), index.short_words):
+        if t in text and (m := pattern.search(text)):
+            for i in ids:
+                yield i, *m.span()
+
+
 def matches(index: Index, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
     """``(text number, item number, start, end, edits)`` of items within their edits, the best for a text and item."""
     whole = "\x00".join(texts)
@@ -186,23 +213,27 @@ FOUND = "found array<struct<item_id:bigint,start:bigint,stop:bigint,edits:int>>"
 _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())]))
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", name: str = "found", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with an array of the items found in each text, in order of item id.
-
-    A column of ``docs`` that is called ``name`` itself gives way.
-    """
-    columns = [c for c in (docs.columns if keep is None else keep) if c != name]
+def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", name: str = "found", keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with an array of the items found in each text, in order of item id, as the last
+    column: ``name``, or a longer name where a column is called so."""
+    columns = docs.columns if keep is None else keep
+    name = fresh(columns, name)
+    text = fresh([*columns, name], "text")
     kind = FOUND.split(" ", 1)[1]
-    out = docs.select(*columns, F.col(text_col).alias("__text"), F.expr(f"cast(array() as {kind})").alias(name))
-    place = len(columns)
-    for index in benchmark_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    out = docs.select(*columns, F.col(text_col).alias(text), F.expr(f"cast(array() as {kind})").alias(name))
+    place, held = len(columns), None
+    for index in benchmark_blocks(benchmark, block_chars=block_chars):
+        if held is not None:  # the findings so far are written, and the last block's index is given up
+            out = materialize(out, "matches")
+            held.destroy()
+        held = shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                texts = [normal(t) for t in batch.column(place).to_pylist()]
-                found = [x or [] for x in batch.column(place + 1).to_pylist()]
+                raw = batch.column(place).to_pylist()
+                texts = [normal(t) for t in raw]
+                new: list[list[dict]] = [[] for _ in texts]
                 lo = 0
                 while lo < len(texts):  # as many texts at once as make a step
                     hi, size = lo, 0
@@ -210,19 +241,26 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
                         size += len(texts[hi])
                         hi += 1
                     for t, i, start, stop, edits in matches(index, texts[lo:hi]):
-                        found[lo + t].append({"item_id": index.items[i][0], "start": start, "stop": stop, "edits": edits})
+                        new[lo + t].append({"item_id": index.items[i][0], "start": start, "stop": stop, "edits": edits})
                     lo = hi
-                for x in found:
-                    x.sort(key=lambda m: (m["item_id"] is not None, m["item_id"] or 0, m["start"]))
+                found = [x or [] for x in batch.column(place + 1).to_pylist()]
+                for k, (x, t) in enumerate(zip(new, texts)):
+                    x += [{"item_id": i, "start": start, "stop": stop, "edits": 0} for i, start, stop in short_matches(index, t)]
+                    if x:
+                        origin = origins(raw[k])
+                        for m in x:
+                            m["start"], m["stop"] = origin[m["start"]], origin[m["stop"] - 1] + 1
+                        found[k] = sorted(found[k] + x, key=lambda m: (m["item_id"] is not None, m["item_id"] or 0, m["start"]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: place + 1], pa.array(found, _FOUND)], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
-    return out.drop("__text")
+    return out.drop(text)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in whose text an item is found."""
-    return with_matches(docs, benchmark, text_col=text_col, name="__found").where("size(__found) = 0").drop("__found")
+    found = with_matches(docs, benchmark, text_col=text_col)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ from .common import byte_texts, materialize, read_documents
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
-SALTS = 64
+#: Pieces of one length that a task numbers.
+NUMBERED = 1 << 18
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint"
 PACKED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
@@ -133,13 +134,16 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, PIECES)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, numbered: int = NUMBERED) -> DataFrame:
     """Pieces (:data:`PIECES`) with the sequence and place each one goes to."""
-    pieces = materialize(pieces, "pieces").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)))
-    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {int(r["length"]): r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    pieces = materialize(pieces, "pieces")
+    histogram = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     slots = np.array(sorted(plan_sequences(histogram, capacity)), dtype=np.int64).reshape(-1, 5)
     shared = pieces.sparkSession.sparkContext.broadcast(slots)
+    # The pieces of a length are numbered in as many groups as its count asks for.
+    groups = F.array(*[F.lit(max(1, -(-histogram.get(k, 0) // numbered))).cast("long") for k in range(capacity + 1)])
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.element_at(groups, F.col("length").cast("int") + 1)))
+    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row", "piece"))
     ranked = pieces.withColumn("within", within).join(base, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("within") - 1).alias("rank"))

@@ -1,12 +1,15 @@
 """Operator 8, quality rules: fixed base rules and robust multivariate outliers.
 
-Each document gets a vector of transformed text statistics. Per language and source the minimum covariance determinant
-is estimated over all documents that pass the base rules: from coordinate-wise medians and deviations, concentration
-steps keep the ``SHARE`` of rows nearest to the estimate and estimate anew, which never raises the determinant. Every
-step is one pass of sums over the small table of vectors, pre-aggregated per task, so a source with a third of all rows
-costs no more than its rows. Sources under ``LEAST_ROWS`` are judged by the estimate of all passing rows of their
-language, languages under it by that of all passing rows, so that every document that passes the base rules gets a
-distance. Documents whose squared Mahalanobis distance exceeds ``CUT`` are rejected.
+Each document gets a vector of transformed text statistics. Per language and source, per language and over all rows the
+minimum covariance determinant is estimated over the documents that pass the base rules: from coordinate-wise medians and
+deviations, concentration steps keep the ``SHARE`` of rows nearest to the estimate and estimate anew, until the
+determinant falls no more. Every step is one pass of sums over the small table of vectors, pre-aggregated per task, so a
+source with a third of all rows costs no more than its rows; groups that have settled take no part in further steps.
+
+Every document is judged by its own language and source, whose estimate is drawn towards that of the language with the
+weight of ``PRIOR`` rows, and that of the language likewise towards all rows. So a source of a few rows is judged almost
+by its language and a large one by itself, without a size at which one rule gives way to another. Documents whose
+squared Mahalanobis distance exceeds ``CUT`` are rejected.
 
 Text statistics are often constant (no symbols at all), which would make any covariance singular: each variance gets the
 square of a floor, the difference in that statistic that never matters by itself.
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, byte_texts, materialize, read_documents, row_key
+from .common import WORD_SEPARATORS, byte_texts, discard, fresh, keyed_rows, materialize, read_documents, row_key
 
 # Fixed values of the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -34,13 +37,16 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Statistics of the vector and the floor of each one's deviation.
 FEATURES = {"f_word": 0.06, "f_symbol": 0.04, "f_repeat": 0.05, "f_upper": 0.04, "f_stop": 0.05}
 SHARE = 0.75
-STEPS = 8
-LEAST_ROWS = 60
+#: Rows that the estimate one level up counts for.
+PRIOR = 60
+#: A group has settled when a step lowers the logarithm of its determinant by no more than this.
+SETTLED = 1e-3
 #: The group of all rows.
 ALL_ROWS = "\x03"
 #: Groups whose estimates are broadcast; of more, they are joined by shuffle.
 FEW_GROUPS = 50_000
-#: Squared distance beyond which a document is rejected: chi-squared with five degrees of freedom exceeds it once in 70 million.
+#: Squared distance beyond which a document is rejected; chi-squared with five degrees of freedom, what normal vectors would
+#: have, exceeds it once in 70 million, so what is rejected is no tail of the ordinary but of another kind.
 CUT = 45.0
 #: Median of chi-squared with five degrees of freedom, to which distances are scaled.
 MEDIAN5 = 4.3515
@@ -109,29 +115,68 @@ def _distance(names: list[str]) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _invert(estimates: DataFrame, floors: list[float]) -> DataFrame:
-    """``(grp, m_i, p_i_j, logdet)`` of rows (grp, n, e_i, e_i_j): means, second moments around ``c_i`` to precisions."""
+def _columns(d: int) -> tuple[list[str], list[str]]:
+    """Names of an estimate's means and of the upper triangle of its covariance."""
+    return [f"m_{i}" for i in range(d)], [f"v_{i}_{j}" for i in range(d) for j in range(i, d)]
+
+
+def _matrices(pdf, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of the rows of an estimate."""
+    means, values = _columns(d)
+    cov = np.zeros((len(pdf), d, d))
+    for name in values:
+        i, j = map(int, name.split("_")[1:])
+        cov[:, i, j] = cov[:, j, i] = pdf[name].to_numpy()
+    return pdf[means].to_numpy(dtype=float).reshape(len(pdf), d), cov
+
+
+def _inverted(pdf, mean: np.ndarray, cov: np.ndarray):
+    """``pdf`` with means, covariances, precisions and log-determinants."""
+    d = mean.shape[1]
+    precision, out = np.linalg.inv(cov), pdf.copy()
+    out["logdet"] = np.linalg.slogdet(cov)[1]
+    for i in range(d):
+        out[f"m_{i}"] = mean[:, i]
+        for j in range(i, d):
+            out[f"v_{i}_{j}"], out[f"p_{i}_{j}"] = cov[:, i, j], precision[:, i, j]
+    return out
+
+
+def _schema(d: int) -> str:
+    means, values = _columns(d)
+    return "grp string, n bigint, logdet double, " + ", ".join(f"{c} double" for c in [*means, *values, *(v.replace("v", "p") for v in values)])
+
+
+def _estimated(sums: DataFrame, floors: list[float]) -> DataFrame:
+    """Estimates of rows (grp, n, c_i, e_i, e_i_j): first and second moments around ``c_i``."""
     d = len(floors)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    schema = "grp string, n bigint, logdet double, " + ", ".join([f"m_{i} double" for i in range(d)] + [f"p_{i}_{j} double" for i, j in pairs])
+    names = [f.split()[0] for f in _schema(d).split(", ")]
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
-            mean = pdf[[f"e_{i}" for i in range(d)]].to_numpy()
+            mean = pdf[[f"e_{i}" for i in range(d)]].to_numpy(dtype=float).reshape(len(pdf), d)
             cov = np.zeros((len(pdf), d, d))
-            for i, j in pairs:
-                cov[:, i, j] = cov[:, j, i] = pdf[f"e_{i}_{j}"].to_numpy() - mean[:, i] * mean[:, j]
-            cov[:, np.arange(d), np.arange(d)] = np.maximum(cov[:, np.arange(d), np.arange(d)], 0) + np.array(floors) ** 2
-            precision = np.linalg.inv(cov)
-            out = pdf[["grp", "n"]].copy()
-            out["logdet"] = np.linalg.slogdet(cov)[1]
             for i in range(d):
-                out[f"m_{i}"] = mean[:, i] + pdf[f"c_{i}"].to_numpy()
-            for i, j in pairs:
-                out[f"p_{i}_{j}"] = precision[:, i, j]
-            yield out
+                for j in range(i, d):
+                    cov[:, i, j] = cov[:, j, i] = pdf[f"e_{i}_{j}"].to_numpy() - mean[:, i] * mean[:, j]
+            cov[:, np.arange(d), np.arange(d)] = np.maximum(cov[:, np.arange(d), np.arange(d)], 0) + np.array(floors) ** 2
+            yield _inverted(pdf[["grp", "n"]], mean + pdf[[f"c_{i}" for i in range(d)]].to_numpy(dtype=float).reshape(len(pdf), d), cov)[names]
+
+    return sums.mapInPandas(run, _schema(d))
+
 
-    return estimates.mapInPandas(run, schema)
+def _drawn(pairs: DataFrame, d: int, prior: int) -> DataFrame:
+    """Estimates of rows of two estimates, the second one's columns with a ``u`` before: each drawn towards the second."""
+    names = [f.split()[0] for f in _schema(d).split(", ")]
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            mean, cov = _matrices(pdf, d)
+            up_mean, up_cov = _matrices(pdf[[c for c in pdf.columns if c.startswith("u")]].rename(columns=lambda c: c[1:]), d)
+            w = (pdf["n"].to_numpy() / (pdf["n"].to_numpy() + prior))[:, None]
+            yield _inverted(pdf[["grp", "n"]], w * mean + (1 - w) * up_mean, w[:, :, None] * cov + (1 - w)[:, :, None] * up_cov)[names]
+
+    return pairs.mapInPandas(run, _schema(d))
 
 
 def _small(groups: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -140,20 +185,19 @@ def _small(groups: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return F.broadcast if few else lambda df: df
 
 
-def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """``(grp, scale, m_i, p_i_j)``: MCD location and precision for every ``grp`` of ``vectors``, by concentration steps."""
+def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES, share: float = SHARE) -> DataFrame:
+    """MCD location, covariance and precision (:func:`_schema`; ``n`` is of all rows) for every ``grp`` of ``vectors``."""
     names, floors = list(features), list(features.values())
     d = len(names)
-    small = _small(vectors.select("grp").distinct())
-    middle = vectors.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 10_000).alias(f"c_{i}") for i, c in enumerate(names)])
-    spread = vectors.join(small(middle), "grp").groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(f"c_{i}").alias(f"m_{i}") for i in range(d)],
-        *[F.percentile_approx(F.abs(F.col(c) - F.col(f"c_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, c in enumerate(names)],
-    )
+    groups = materialize(vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"c_{i}") for i, c in enumerate(names)]), "mcd")
+    small = _small(groups)
+    spread = vectors.join(small(groups), "grp").groupBy("grp").agg(
+        *[F.first(f"c_{i}").alias(f"m_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"c_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, c in enumerate(names)]
+    )
     zero = [F.lit(0.0).alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1, d)]
-    start = spread.select("grp", "n", F.lit(0.0).alias("logdet"), *[f"m_{i}" for i in range(d)], *[(1 / (F.pow(1.4826 * F.col(f"s_{i}"), 2) + floors[i] ** 2)).alias(f"p_{i}_{i}") for i in range(d)], *zero)
-    estimate, last = materialize(start, "mcd"), None
-    for _ in range(steps):
+    start = spread.select("grp", F.lit(float("inf")).alias("logdet"), *[f"m_{i}" for i in range(d)], *[(1 / (F.pow(1.4826 * F.col(f"s_{i}"), 2) + floors[i] ** 2)).alias(f"p_{i}_{i}") for i in range(d)], *zero)
+    estimate, settled = materialize(start, "mcd"), None
+    while True:
         placed = vectors.join(small(estimate), "grp").withColumn("d2", _distance(names)).select("grp", "d2", *names, *[F.col(f"m_{i}").alias(f"c_{i}") for i in range(d)])
         near = placed.groupBy("grp").agg(F.percentile_approx("d2", share, 10_000).alias("most"))
         kept = placed.join(small(near), "grp").where("d2 <= most")
@@ -162,47 +206,57 @@ def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES,
             F.count(F.lit(1)).alias("n"), *[F.first(f"c_{i}").alias(f"c_{i}") for i in range(d)], *[F.avg(x[i]).alias(f"e_{i}") for i in range(d)],
             *[F.avg(x[i] * x[j]).alias(f"e_{i}_{j}") for i in range(d) for j in range(i, d)],
         )
-        estimate = materialize(_invert(sums, floors), "mcd")
-        total = estimate.agg(F.sum("logdet")).first()[0]
-        if last is not None and abs(total - last) <= 1e-6 * max(1.0, abs(last)):
+        last = estimate.select("grp", F.col("logdet").alias("last"))
+        step = materialize(_estimated(sums, floors).join(small(last), "grp").withColumn("settled", F.col("logdet") > F.col("last") - SETTLED), "mcd")
+        discard(estimate)
+        done = step.where("settled").drop("settled", "last")
+        settled = done if settled is None else settled.unionByName(done)
+        # Determinants are bounded from below by the floors, so each group settles.
+        estimate = step.where("not settled").drop("settled", "last")
+        if estimate.isEmpty():
             break
-        last = total
-    # Scaled so that the median distance is that of a normal sample, never below what the floors make of it.
-    scale = vectors.join(small(estimate), "grp").withColumn("d2", _distance(names)).groupBy("grp").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / MEDIAN5, F.lit(1.0)).alias("scale"))
-    return materialize(estimate.drop("n", "logdet").join(scale, "grp"), "mcd")
+    # Covariances are scaled so that the median distance is that of a normal sample, never below what the floors make of them.
+    found = materialize(settled, "mcd")
+    scale = vectors.join(small(found), "grp").withColumn("d2", _distance(names)).groupBy("grp").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / MEDIAN5, F.lit(1.0)).alias("scale"))
+    means, values = _columns(d)
+    scaled = [(F.col(v) * F.col("scale")).alias(v) for v in values] + [(F.col(v.replace("v", "p")) / F.col("scale")).alias(v.replace("v", "p")) for v in values]
+    full = found.drop("n").join(scale, "grp").join(groups.select("grp", "n"), "grp")
+    return materialize(full.select("grp", "n", (F.col("logdet") + d * F.log("scale")).alias("logdet"), *means, *scaled), "mcd")
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cut: float = CUT, prior: int = PRIOR) -> DataFrame:
     """A row per document: statistics, ``base_failed``, ``distance`` (null where the base rules failed) and ``kept``."""
     rows = materialize(text_statistics(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, source_col=source_col).withColumn("base_failed", base_failed()), "quality")
-    passed = rows.where(~F.col("base_failed"))
     # The last characters keep the groups of the three levels apart, whatever the names are.
     language = F.concat(F.coalesce(F.col("lang"), F.lit("\x00")), F.lit("\x02"))
     own = F.concat(F.coalesce(F.col("lang"), F.lit("\x00")), F.lit("\x01"), F.coalesce(F.col("source"), F.lit("\x00")), F.lit("\x01"))
-    sizes = materialize(passed.groupBy(own.alias("own"), language.alias("language")).count(), "quality-sizes")
-    small = _small(sizes)
-    by_language = sizes.groupBy("language").agg(F.sum("count").alias("n"))
-    level = F.when(F.col("count") >= least_rows, F.col("own")).when(F.col("n") >= least_rows, F.col("language")).otherwise(F.lit(ALL_ROWS))
-    chosen = materialize(sizes.join(small(by_language), "language").select("own", level.alias("grp")), "quality-groups")
-    grouped = rows.withColumn("own", own).join(small(chosen), "own", "left").drop("own")
-    # A language's estimate takes all its rows, those of its large sources too.
-    every = passed.select(F.explode(F.array(own, language, F.lit(ALL_ROWS))).alias("grp"), *FEATURES)
-    vectors = materialize(every.join(small(chosen.select("grp").distinct()), "grp", "left_semi"), "quality-vectors")
+    grouped = rows.withColumn("grp", own)
+    passed = rows.where(~F.col("base_failed"))
+    vectors = passed.select(F.explode(F.array(own, language, F.lit(ALL_ROWS))).alias("grp"), *FEATURES)
+    d = len(FEATURES)
     estimates = robust_estimates(vectors)
-    judged = grouped.join(small(estimates), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES)) / F.col("scale")))
+    small = _small(estimates)
+    # An estimate as the one that others are drawn towards.
+    up = lambda df: df.select(F.col("grp").alias("ugrp"), *(F.col(c).alias(f"u{c}") for c in sum(_columns(d), [])))
+    levels = materialize(passed.select(own.alias("own"), language.alias("language")).distinct(), "quality-levels")
+    languages = estimates.join(small(levels.select("language").distinct()), F.col("grp") == F.col("language"), "left_semi")
+    languages = materialize(_drawn(languages.withColumn("ugrp", F.lit(ALL_ROWS)).join(F.broadcast(up(estimates)), "ugrp"), d, prior), "mcd")
+    paired = estimates.join(small(levels), F.col("grp") == F.col("own")).join(small(up(languages)), F.col("language") == F.col("ugrp"))
+    drawn = materialize(_drawn(paired.drop("own", "language"), d, prior), "mcd")
+    judged = grouped.join(small(drawn.drop("n", "logdet", *_columns(d)[1])), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES))))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cut)
     return judged.select(*rows.columns, "grp", "distance", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, **columns: str) -> DataFrame:
     """``docs`` without the rows that :func:`judge` rejects."""
-    judged = judge(docs, **columns)
-    bad = judged.where(~F.col("kept")).select(F.col("k_id").alias("__k_id"), F.col("k_text").alias("__k_text"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct()
-    id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    keyed = docs.select("*", *(c.alias(f"__{n}") for c, n in zip(row_key(id_col, text_col), ("k_id", "k_text"))))
+    lang_col, source_col = columns.get("lang_col", "lang"), columns.get("source_col", "source")
+    keyed, (k_id, k_text) = keyed_rows(docs, columns.get("id_col", "doc_id"), columns.get("text_col", "text"))
+    lang, source = fresh(keyed.columns, "lang"), fresh(keyed.columns, "source")
+    bad = judge(docs, **columns).where(~F.col("kept")).select(F.col("k_id").alias(k_id), F.col("k_text").alias(k_text), F.col("lang").alias(lang), F.col("source").alias(source)).distinct()
     left, right = keyed.alias("l"), bad.hint("shuffle_hash").alias("r")
-    same = (F.col("l.__k_id") == F.col("r.__k_id")) & (F.col("l.__k_text") == F.col("r.__k_text"))
-    same &= F.col(f"l.{columns.get('lang_col', 'lang')}").cast("string").eqNullSafe(F.col("r.__lang")) & F.col(f"l.{columns.get('source_col', 'source')}").cast("string").eqNullSafe(F.col("r.__source"))
+    same = (F.col(f"l.{k_id}") == F.col(f"r.{k_id}")) & (F.col(f"l.{k_text}") == F.col(f"r.{k_text}"))
+    same &= F.col(f"l.{lang_col}").cast("string").eqNullSafe(F.col(f"r.{lang}")) & F.col(f"l.{source_col}").cast("string").eqNullSafe(F.col(f"r.{source}"))
     return left.join(right, same, "left_anti").select(*docs.columns)
 
 

@@ -2,9 +2,14 @@
 
 The first pass scatters records by seeded hashes: the id and the number of shards decide the shard (the shard of the
 largest hash of id and shard, so one more shard takes records only into itself), and a hash of the whole record and its
-row number deals the shard's records evenly over buckets of about ``BUCKET_BYTES``, however often an id or text repeats.
-The second pass shuffles each bucket in memory with the engine's Fisher-Yates ``shuffle``, in one task, and writes it.
-A bucket's records are sorted before they are shuffled, so what is shuffled doesn't depend on the order of arrival.
+row number deals the shard's records evenly over buckets of about ``BUCKET_BYTES``, however often an id or text repeats;
+how many buckets a shard has follows from its own bytes. The second pass shuffles each bucket in memory with the engine's
+Fisher-Yates ``shuffle``, in one task, and writes it.
+
+Buckets are dealt to as many partitions as have ``TASK_BYTES`` each. The number of partitions depends on the bytes alone,
+a partition's buckets are in order, and a bucket's records are sorted before they are shuffled, so the engine's
+generators, which start anew in each partition, see the same arrays on any cluster: what is written depends on the seed,
+the records and how the input is cut into files' splits (which gives rows their numbers).
 
 Cases: a null text counts as empty; a null id hashes like any value; repeated rows are separate records; an empty table
 gives empty shards; all other columns travel along under ``record``.
@@ -19,7 +24,8 @@ from .common import read_documents, shared_path
 
 SHARDS = 16
 SEED = 20_240_229
-BUCKET_BYTES = 4 << 20
+#: Bytes of texts in a bucket, and in the buckets of one task.
+BUCKET_BYTES, TASK_BYTES = 4 << 20, 16 << 20
 #: Buckets (a row of 24 bytes each) whose offsets are broadcast; of more, they are joined by shuffle.
 FEW_BUCKETS = 200_000
 
@@ -30,18 +36,20 @@ def shard_of(key: str, shards: int, seed: int = SEED) -> Column:
     return (F.greatest(*scores) if shards > 1 else scores[0])["s"]
 
 
-def write_shards(docs: DataFrame, path: str, *, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> None:
+def write_shards(
+    docs: DataFrame, path: str, *, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES, seed: int = SEED
+) -> None:
     """Write ``(shard, bucket, place, record)`` to ``path``, partitioned by shard; places are gapless in their bucket."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
+    bytes_of = {r[0]: r[1] for r in docs.select(shard_of(id_col, shards, seed).alias("shard"), size.alias("size")).groupBy("shard").agg(F.sum("size")).collect()}  # a row per shard
+    buckets = [max(1, -(-bytes_of.get(s, 0) // bucket_bytes)) for s in range(shards)]
+    tasks = max(1, -(-sum(bytes_of.values()) // task_bytes))
     row = F.monotonically_increasing_id()
-    scattered = docs.select(
-        shard_of(id_col, shards, seed).alias("shard"), F.struct(*[F.col(c) for c in docs.columns]).alias("record"),
-        F.pmod(F.xxhash64(F.lit(~seed), F.xxhash64(id_col, text_col), row), F.lit(buckets)).alias("bucket"), row.alias("row"),
-    )
-    gathered = scattered.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("row", "record"))).alias("records"))
-    shuffled = gathered.select("shard", "bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("place", "r"))
+    scattered = docs.select(shard_of(id_col, shards, seed).alias("shard"), F.struct(*[F.col(c) for c in docs.columns]).alias("record"), F.xxhash64(F.lit(~seed), F.xxhash64(id_col, text_col), row).alias("h"), row.alias("row"))
+    own = F.element_at(F.array(*[F.lit(b).cast("long") for b in buckets]), F.col("shard") + 1)
+    placed = scattered.select("shard", F.pmod("h", own).alias("bucket"), "row", "record").repartition(tasks, "shard", "bucket")
+    gathered = placed.groupBy("shard", "bucket").agg(F.array_sort(F.collect_list(F.struct("row", "record"))).alias("records"))
+    shuffled = gathered.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("place", "r"))
     shuffled.select("shard", "bucket", F.col("place").cast("long").alias("place"), F.col("r.record").alias("record")).write.partitionBy("shard").parquet(path)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators.graph import connected_components
 
-from .common import byte_texts, materialize, read_documents, row_key
+from .common import HEAVY_LEAST, byte_texts, heavy_keys, keyed_rows, materialize, read_documents, row_key, salted_join
 
 SEED = 42
 #: Fingerprints under one variant that a task compares directly.
@@ -168,22 +168,24 @@ def near_links(prints: DataFrame, bits: int = 3, bucket: int = BUCKET) -> DataFr
     return out
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, bucket: int = BUCKET, heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``(doc_id, fp, component_id)``: a row per document; the component is the smallest id reachable over links."""
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash-rows")
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-prints")
     groups = connected_components(near_links(prints.select("fp"), bits, bucket))
     member = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     member = materialize(member, "simhash-members")
-    names = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(names, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    names = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    # A component of many prints and a print of many rows are both dealt to several tasks.
+    roots = materialize(heavy_keys(names.select("root", "n"), prints.count(), heavy_least), "simhash-heavy")
+    named = salted_join(member.select("fp", "root"), names.select("root", "component_id"), ["root"], roots).select("fp", "component_id")
+    heavy = materialize(heavy_keys(prints.select("fp", "n"), rows.count(), heavy_least), "simhash-heavy")
+    return salted_join(rows, named, ["fp"], heavy).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 3, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with one row of each group of linked fingerprints: that of the smallest id, then of the smallest text hash."""
-    keys = row_key(id_col, text_col)
-    keyed = docs.select(*keys, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,11 +197,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     prints = materialize(rows.groupBy("fp").agg(first), "simhash-prints")
     groups = connected_components(near_links(prints.select("fp"), bits, bucket))
     member = prints.join(groups, prints["fp"] == groups["node"], "left").select("first", F.coalesce("component", "fp").alias("root"))
-    kept = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k_id").alias("__k_id"), F.col("first.k_text").alias("__k_text"))
-    left = docs.select("*", *(c.alias(f"__{n}") for c, n in zip(keys, ("k_id", "k_text"))))
-    out = left.join(kept.hint("shuffle_hash"), ["__k_id", "__k_text"], "left_semi")
+    kept = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k_id").alias("k_id"), F.col("first.k_text").alias("k_text"))
+    return one_row_each(docs, kept, rows, id_col, text_col)
+
+
+def one_row_each(docs: DataFrame, kept: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``kept`` (k_id, k_text), one of those alike in id and text. ``rows`` has the
+    keys of all."""
+    keyed, names = keyed_rows(docs, id_col, text_col)
+    out = keyed.join(kept.select(*(F.col(c).alias(n) for c, n in zip(("k_id", "k_text"), names))).hint("shuffle_hash"), names, "left_semi")
     if not rows.groupBy("k_id", "k_text").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["__k_id", "__k_text"])  # rows alike in id and text: one of them
+        out = out.dropDuplicates(names)
     return out.select(*docs.columns)
 
 

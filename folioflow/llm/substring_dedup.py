@@ -1,10 +1,11 @@
 """Operator 2, substring dedup by relative Lempel-Ziv parsing.
 
 The reference is cut into blocks around the grams that :mod:`folioflow.llm.windows` files them under, and every block
-of the corpus is both a reference and a text to be factored: :func:`factors` walks the blocks of a gram from left to
-right and covers each greedily by copies from the others, the longest that an indexed place allows. A copy ends where its
-source does; as a repeated window can lie across such a factor boundary with yet another source, each place up to it is
-looked up too, so the factors of 35 words and more cover exactly the repeated windows.
+of the corpus is both a reference and a text to be factored: all blocks of a gram meet in one task, :class:`Reference`
+puts their places into suffix order, and :func:`factors` walks every block from left to right and takes the longest copy
+that starts at any other place, then goes on from its end. Windows inside factors of 35 words and more are duplicates. A
+repeated window can also lie across a factor boundary, with yet another source; each one there is looked up. A block that
+equals another one is a single factor, and so is a window of a gram too frequent for a task; they are found by equality.
 
 Cases: a null text has no words; texts under 35 words lose none; repeated rows repeat each other's windows; overlapping
 repeats inside one text count; an empty table gives no rows; other columns are ignored.
@@ -19,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_texts, merge_ranges, read_documents
-from .windows import HOT, Words, prefix_sums, range_hash, repeated_ranges, with_ranges
+from .common import HEAVY_LEAST, byte_texts, merge_ranges, read_documents
+from .windows import HOT, Words, repeated_ranges, with_ranges
 
 WINDOW = 35
 
@@ -31,46 +32,97 @@ def window_places(offsets: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(offsets - first, n)
 
 
-def index_sources(symbols: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
-    """For each window another place with the same symbols, or -1: an index of all blocks, verified symbol by symbol."""
-    h = range_hash(prefix_sums(symbols), places, places + window)
-    order = np.argsort(h, kind="stable")
-    near = np.flatnonzero(h[order][1:] == h[order][:-1])
-    x, y = places[order[near]], places[order[near + 1]]
-    same = np.empty(len(near), dtype=bool)
-    span = np.arange(window)
-    for lo in range(0, len(near), 20_000):
-        same[lo : lo + 20_000] = (symbols[x[lo : lo + 20_000, None] + span] == symbols[y[lo : lo + 20_000, None] + span]).all(axis=1)
-    source = np.full(len(places), -1, dtype=np.int64)
-    source[order[near[same] + 1]] = x[same]
-    source[order[near[same]]] = y[same]
-    return source
-
-
-def factors(symbols: np.ndarray, offsets: np.ndarray, n: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy copies ``(first window, windows, place, source)``: each goes on while the next window's source is the next place."""
-    places = window_places(offsets, n)
-    source = index_sources(symbols, places, window)
-    found = source >= 0
-    goes_on = np.zeros(len(places), dtype=bool)
-    goes_on[1:] = found[1:] & found[:-1] & (source[1:] == source[:-1] + 1) & (places[1:] == places[:-1] + 1)
-    head = np.flatnonzero(found & ~goes_on)
-    stop = np.flatnonzero(found & ~np.append(goes_on[1:], False)) + 1
-    return head, stop - head, places[head], source[head]
-
-
-def _repeated(symbols: np.ndarray, offsets: np.ndarray, n: np.ndarray) -> np.ndarray:
-    head, length, _, _ = factors(symbols, offsets, n)
-    edge = np.zeros(int(n.sum()) + 1, dtype=np.int64)
-    np.add.at(edge, head, 1)
-    np.add.at(edge, head + length, -1)
-    return np.cumsum(edge)[:-1] > 0
-
-
-def duplicate_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+class Reference:
+    """An index of blocks, each of which is also a text to be factored: places in suffix order, with ranks by their first
+    1, 2, 4, ... symbols (suffixes end with their block), which tell how many symbols two places share."""
+
+    def __init__(self, symbols: np.ndarray, offsets: np.ndarray, lengths: np.ndarray):
+        n = len(symbols)
+        self.left = np.repeat(offsets + lengths, lengths) - np.arange(n)
+        self.levels: list[tuple[int, np.ndarray]] = []
+        # Ranks count the smaller ones of those compared: at first all places, then those that share a rank.
+        rank, active, k = np.zeros(n, dtype=np.int64), np.arange(n), 1
+        own, key = rank, symbols
+        while len(active):
+            order = np.argsort(key)
+            active, own, key = active[order], own[order], key[order]
+            at = np.arange(len(active))
+            new_own = np.concatenate(([True], own[1:] != own[:-1]))
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            rank = rank.copy()
+            rank[active] = own + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(new_own, at, 0))
+            self.levels.append((k, rank))
+            tied = ~(new & np.append(new[1:], True)) & (self.left[active] >= k)
+            active = active[tied]
+            own = rank[active]
+            key = own * (n + 1) + np.where(self.left[active] > k, rank[np.minimum(active + k, n - 1)] + 1, 0)
+            k *= 2
+        self.order = np.argsort(rank, kind="stable")
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes at ``i`` and ``j`` have in common at their start."""
+        length = np.zeros(len(i), dtype=np.int64)
+        for k, rank in reversed(self.levels):
+            fits = (self.left[i] - length >= k) & (self.left[j] - length >= k)
+            a, b = np.where(fits, i + length, 0), np.where(fits, j + length, 0)
+            length += k * (fits & (rank[a] == rank[b]))
+        return length
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every place the length of the longest copy that starts anywhere else, and where that is (-1 if nowhere)."""
+        n = len(self.order)
+        near = self.shared(self.order[:-1], self.order[1:])
+        before, after = np.concatenate(([0], near)), np.concatenate((near, [0]))
+        length, source = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        length[self.order] = np.maximum(before, after)
+        source[self.order] = np.where(before >= after, np.roll(self.order, 1), np.roll(self.order, -1))
+        return length, np.where(length > 0, source, -1)
+
+
+def factors(length: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the greedy factors of all blocks: the longest copy from the end of the one before, or one new
+    symbol. All blocks are walked at once."""
+    at, ends = offsets, offsets + lengths
+    starts, sizes = [], []
+    while len(at):
+        size = np.maximum(length[at], 1)
+        starts.append(at)
+        sizes.append(size)
+        at = at + size
+        at, ends = at[at < ends], ends[at < ends]
+    return (np.concatenate(starts), np.concatenate(sizes)) if starts else (offsets[:0], offsets[:0])
+
+
+def across_boundaries(length: np.ndarray, starts: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """Places whose window reaches over the end of a factor and is a copy of its own: each is looked up in the index."""
+    first = np.repeat(offsets, lengths)[starts]
+    last = np.repeat(offsets + lengths, lengths)[starts] - window
+    ends = starts + sizes
+    lo = np.maximum(np.maximum(starts, first), ends - window + 1)
+    hi = np.minimum(ends - 1, last)
+    some = hi >= lo
+    at = window_places(lo[some], (hi - lo + 1)[some])
+    return at[length[at] >= window]
+
+
+def repeated_windows(symbols: np.ndarray, offsets: np.ndarray, n: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Windows in factors of ``window`` symbols and more, and those across factor boundaries that are copies as well."""
+    lengths = n - 1 + window
+    length, _ = Reference(symbols, offsets, lengths).longest()
+    starts, sizes = factors(length, offsets, lengths)
+    edge = np.zeros(len(symbols) + 1, dtype=np.int64)
+    long = sizes >= window
+    np.add.at(edge, starts[long], 1)
+    np.add.at(edge, (starts + sizes)[long] - window + 1, -1)
+    found = np.cumsum(edge)[:-1] > 0
+    found[across_boundaries(length, starts, sizes, offsets, lengths, window)] = True
+    return found[window_places(offsets, n)]
+
+
+def duplicate_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``(doc_id, text, starts, stops)``: word ranges covered by windows of 35 words that occur again; unmerged, null if none."""
-    ranges = repeated_ranges(Words(WINDOW), docs, _repeated, id_col=id_col, text_col=text_col, hot=hot)
-    return with_ranges(docs, ranges, id_col, text_col)
+    ranges = repeated_ranges(Words(WINDOW), docs, repeated_windows, id_col=id_col, text_col=text_col, hot=hot, heavy_least=heavy_least)
+    return with_ranges(docs, ranges, id_col, text_col, heavy_least)
 
 
 def remove_words(found: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_texts, merge_ranges, read_documents
+from .common import HEAVY_LEAST, byte_texts, merge_ranges, read_documents
 from .substring_dedup import window_places
 from .windows import HOT, TRIGGER, Bytes, octets_at, prefix_sums, range_hash, repeated_ranges, triggers, with_ranges
 
@@ -120,10 +120,10 @@ def _repeated(symbols: np.ndarray, offsets: np.ndarray, n: np.ndarray) -> np.nda
     return out
 
 
-def duplicate_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def duplicate_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``(doc_id, text, starts, stops)``: byte ranges covered by 400-byte strings that occur again; unmerged, null if none."""
-    ranges = repeated_ranges(Bytes(WINDOW, EVERY), docs, _repeated, id_col=id_col, text_col=text_col, hot=hot)
-    return with_ranges(docs, ranges, id_col, text_col)
+    ranges = repeated_ranges(Bytes(WINDOW, EVERY), docs, _repeated, id_col=id_col, text_col=text_col, hot=hot, heavy_least=heavy_least)
+    return with_ranges(docs, ranges, id_col, text_col, heavy_least)
 
 
 def remove_bytes(found: DataFrame) -> DataFrame:

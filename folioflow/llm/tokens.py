@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -21,6 +22,26 @@ _PLAIN = re.compile(rf"[!-~{_LETTER}{_CAPITAL}]*")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
 
 
+# What a tokenizer's file must declare for its texts to be cut here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _cuts_as_here(path: str) -> bool:
+    """Whether the file declares the rules by which :class:`WordEncoder` cuts texts."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
+    marks = all(t["content"].startswith("<|") and " " not in t["content"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in spec["added_tokens"])
+    return plain and marks and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _SPLIT
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -55,7 +76,8 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins anything across it (no composition, contraction or merge does), so
     a text's ids are those of its chunks between ASCII white space, in order. A chunk of plain letters, digits and
-    marks is cut into the tokenizer's pieces, each merged by its model; any other chunk goes through it whole.
+    marks is cut into the tokenizer's pieces, each merged by its model; any other chunk goes through it whole. That holds
+    for files that declare these rules (``_cuts_as_here``); texts for any other tokenizer are encoded by it in one piece.
     """
 
     def __init__(self, path: str, chunks: int = CACHE_CHUNKS, pieces: int = CACHE_PIECES):
@@ -63,6 +85,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._own = _cuts_as_here(path)
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
         self._pieces = _Cache(self._piece, pieces)
@@ -85,6 +108,8 @@ class WordEncoder:
 
     def encode(self, text: bytes, tail: bytes = b"") -> bytes:
         """Ids of ``text`` followed by ``tail``."""
+        if not self._own:
+            return np.array(self._tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes() + tail
         return b"".join(map(self._chunks.__getitem__, text.split())) + tail
 
 

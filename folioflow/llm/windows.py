@@ -5,12 +5,16 @@ window is filed under the smallest-hashed gram inside it (a window without a gra
 are filed alike, and consecutive windows under one gram form a *block* with the symbols they span. Then
 
 1. grams are counted (partial sums per task, one narrow shuffle), and those of two or more blocks go into a bit filter
-   of fixed size, broadcast to the second reading (a crowded filter lets more blocks through but loses none);
-2. blocks under a counted gram are dealt by gram, equal blocks of a task collapsed to one row with their places. A gram
-   of more than ``hot`` blocks is dealt window by window instead, each under its own 128-bit hash, so that not even a
-   passage in a third of all documents meets in one task;
-3. each operator compares the blocks of a gram by its own method and marks the windows found elsewhere;
-4. covered ranges go back to their documents, which are joined by id and text hash.
+   sized by their number, up to ``MOST_BITS``, broadcast to the second reading (a crowded filter lets more blocks through
+   but loses none);
+2. blocks under a counted gram are dealt by gram, equal blocks of a task collapsed to one row with their places, and each
+   operator compares the blocks of a gram by its own method and marks the windows found elsewhere;
+3. grams of more than ``hot`` blocks, which no task should gather, are read once more window by window: a window's 128-bit
+   hash with the number of its places is summed up over all tasks, and the places of those that occur again are kept.
+   Windows of many rows are told by a broadcast of at most ``HEAVY`` hashes, the others by a join on the hash, so the
+   places of a passage in a third of all documents stay dealt as they were read;
+4. covered ranges, merged in every task, go back to their documents, which are joined by id and text hash; an id that
+   many rows share is salted.
 
 Texts longer than ``SLICE`` symbols are sliced with W - 1 symbols of overlap: each window is still filed once.
 """
@@ -27,20 +31,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialize, mix64, ranges_of, row_key
+from .common import HEAVY_LEAST, byte_texts, discard, heavy_keys, materialize, merge_ranges, mix64, ranges_of, row_key, salted_join
 
 #: Symbols that one step of a map task works on.
 SLICE = 1 << 20
 #: Bytes of distinct blocks that a map task gathers before it passes them on, and that a comparison works on at once.
 GATHER, COMPARE = 24 << 20, 1 << 20
-#: log2 of the bits of the filters for repeated and for hot grams.
-FILTER_BITS, HOT_BITS = 26, 22
-HOT = 4096
+#: log2 of the bits of a filter: the least and the most (32 MB); in between, sixteen bits for each key.
+LEAST_BITS, MOST_BITS = 16, 28
+#: Blocks of one gram that a task compares with each other.
+HOT = 1024
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_HOT_SIDE = np.uint64(0xA5A5A5A55A5A5A5A)
 
-BLOCKS = "key bigint, n int, payload binary, places binary"
+BLOCKS = "key bigint, n int, payload binary, met bigint, places binary"
+HOT_WINDOWS = "d1 bigint, d2 bigint, met bigint, places binary"
 RANGES = "k_id bigint, k_text bigint, start bigint, stop bigint"
 PLACE = np.dtype([("k_id", "<i8"), ("k_text", "<i8"), ("at", "<i8")])
 
@@ -220,13 +225,16 @@ def _pieces(spec: Words | Bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[
         yield flush()
 
 
-def _bit_filter(grams: DataFrame, bits: int) -> np.ndarray:
-    """A bit array of 2**bits in which the bit of every ``key`` is set; gathered as words, so of bounded size."""
-    at = F.shiftrightunsigned("key", 64 - bits)
-    words = grams.select(F.shiftrightunsigned(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("b"))
+def _bit_filter(grams: DataFrame) -> np.ndarray:
+    """A bit array in which the bit of every ``key`` is set: sixteen bits a key, 2**MOST_BITS at most; gathered as words."""
+    n = grams.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, int(n).bit_length() + 4))
     out = np.zeros(1 << bits - 6, dtype=np.int64)
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    if n:
+        at = F.shiftrightunsigned("key", 64 - bits)
+        words = grams.select(F.shiftrightunsigned(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("b"))
+        found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        out[found.column("w").to_numpy()] = found.column("b").to_numpy()
     return out.view(np.uint64)
 
 
@@ -244,65 +252,135 @@ def count_grams(spec: Words | Bytes, keyed: DataFrame, hot: int) -> tuple[np.nda
             key, n = np.unique(blocks(spec, symbols, bounds)[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    counts = keyed.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
-    counts = materialize(counts, "grams")
-    return _bit_filter(counts, FILTER_BITS), _bit_filter(counts.where(F.col("n") > hot), HOT_BITS)
+    counts = materialize(keyed.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "grams")
+    filters = _bit_filter(counts), _bit_filter(counts.where(F.col("n") > hot))
+    discard(counts)
+    return filters
+
+
+class _Held:
+    """Rows of a map task under a key, with the places where they were met."""
+
+    def __init__(self):
+        self.rows: dict[tuple, array] = {}
+        self.size = 0
+
+    def add(self, key: tuple, place: tuple[int, int, int]) -> None:
+        if (found := self.rows.get(key)) is None:
+            self.rows[key] = array("q", place)
+            self.size += len(key[-1]) + 400
+        else:
+            found.extend(place)
+            self.size += 32
+
+    def take(self) -> tuple[list[tuple], pa.Array, pa.Array]:
+        """Keys, number of places, and the places as bytes, each but once (rows alike have the same)."""
+        keys, met, places = list(self.rows), [], []
+        for v in self.rows.values():
+            met.append(len(v) // 3)
+            places.append(v.tobytes() if len(v) == 3 else np.unique(np.frombuffer(v, dtype=PLACE)).tobytes())
+        self.rows, self.size = {}, 0
+        return keys, pa.array(met, pa.int64()), pa.array(places, pa.binary())
 
 
 def candidate_blocks(spec: Words | Bytes, keyed: DataFrame, filters: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Blocks (:data:`BLOCKS`) under a repeated gram, equal ones of a task in one row with all their places."""
+    """Blocks (:data:`BLOCKS`) under a repeated gram that is not hot, equal ones of a task in one row with their places."""
     shared = keyed.sparkSession.sparkContext.broadcast(filters)
     W = spec.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, hot = shared.value
-        held: dict[tuple[int, int, bytes], array] = {}
-        size = 0
+        held = _Held()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int32()), pa.array([k[2] for k in held], pa.binary()),
-                 pa.array([v.tobytes() for v in held.values()], pa.binary())],
-                names=["key", "n", "payload", "places"],
-            )
-
-        def hold(key: int, n: int, payload: bytes, place: tuple[int, int, int]) -> int:
-            if (found := held.get((key, n, payload))) is None:
-                held[(key, n, payload)] = array("q", place)
-                return len(payload) + 400
-            found.extend(place)
-            return 32
+            keys, met, places = held.take()
+            kinds = (pa.int64(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds)), met, places], names=["key", "n", "payload", "met", "places"])
 
         for symbols, bounds, places in _pieces(spec, batches):
             start, n, key = blocks(spec, symbols, bounds)
-            ok = _passes(repeated, key)
+            ok = _passes(repeated, key) & ~_passes(hot, key)
             start, n, key = start[ok], n[ok], key[ok]
             piece = np.searchsorted(bounds, start, side="right") - 1
             at = start - bounds[piece] + places["at"][piece]
-            apart = _passes(hot, key)
             ids, texts, signed = places["k_id"][piece].tolist(), places["k_text"][piece].tolist(), key.view(np.int64).tolist()
             data, wide = symbols.astype(spec.dtype, copy=False).tobytes(), spec.dtype.itemsize
             for i, (s, m, k, x) in enumerate(zip(start.tolist(), n.tolist(), signed, at.tolist())):
-                if not apart[i]:
-                    size += hold(k, m, data[s * wide : (s + m - 1 + W) * wide], (ids[i], texts[i], x))
-                else:
-                    for j in range(m):
-                        digest = xxhash.xxh3_128_digest(data[(s + j) * wide : (s + j + W) * wide])
-                        own = np.frombuffer(digest, dtype="<u8")[0] ^ _HOT_SIDE
-                        size += hold(int(own.view(np.int64)), 1, digest, (ids[i], texts[i], x + j))
-            if size > GATHER:
+                held.add((k, m, data[s * wide : (s + m - 1 + W) * wide]), (ids[i], texts[i], x))
+            if held.size > GATHER:
                 yield flush()
-                held.clear()
-                size = 0
-        if held:
+        if held.rows:
             yield flush()
 
     return keyed.mapInArrow(run, BLOCKS)
 
 
+def hot_windows(spec: Words | Bytes, keyed: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Windows (:data:`HOT_WINDOWS`) under a hot gram, by the two halves of their hash; equal ones of a task in one row."""
+    shared = keyed.sparkSession.sparkContext.broadcast(hot)
+    W = spec.window
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+
+        def flush() -> pa.RecordBatch:
+            keys, met, places = held.take()
+            halves = np.frombuffer(b"".join([k[0] for k in keys]), dtype="<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), met, places], names=["d1", "d2", "met", "places"])
+
+        for symbols, bounds, places in _pieces(spec, batches):
+            start, n, key = blocks(spec, symbols, bounds)
+            ok = _passes(shared.value, key)
+            start, n = start[ok], n[ok]
+            piece = np.searchsorted(bounds, start, side="right") - 1
+            at = start - bounds[piece] + places["at"][piece]
+            ids, texts = places["k_id"][piece].tolist(), places["k_text"][piece].tolist()
+            data, wide, digest = symbols.astype(spec.dtype, copy=False).tobytes(), spec.dtype.itemsize, xxhash.xxh3_128_digest
+            for i, (s, m, x) in enumerate(zip(start.tolist(), n.tolist(), at.tolist())):
+                for j in range(m):
+                    held.add((digest(data[(s + j) * wide : (s + j + W) * wide]),), (ids[i], texts[i], x + j))
+            if held.size > GATHER:
+                yield flush()
+        if held.rows:
+            yield flush()
+
+    return keyed.mapInArrow(run, HOT_WINDOWS)
+
+
+def _merged(k_id: np.ndarray, k_text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """:data:`RANGES` with those of a row key that touch made one."""
+    order = np.lexsort((start, k_text, k_id))
+    k_id, k_text, start, stop = (x[order] for x in (k_id, k_text, start, stop))
+    new = np.concatenate(([True], (k_id[1:] != k_id[:-1]) | (k_text[1:] != k_text[:-1])))[: len(k_id)]
+    row = np.cumsum(new) - 1
+    # Rows one after another on a line on which no two can touch.
+    shift = row * (int(stop.max(initial=0)) + 2)
+    lo, hi = merge_ranges(start + shift, stop + shift)
+    head = np.searchsorted(start + shift, lo, side="left")
+    return pa.RecordBatch.from_arrays([pa.array(k_id[head]), pa.array(k_text[head]), pa.array(lo - shift[head]), pa.array(hi - shift[head])], names=["k_id", "k_text", "start", "stop"])
+
+
+def hot_ranges(windows: DataFrame, window: int, least: int = HEAVY_LEAST) -> DataFrame:
+    """:data:`RANGES` of the windows (:data:`HOT_WINDOWS`, written) that have two places or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=PLACE))
+            if len(at):
+                yield _merged(*(np.ascontiguousarray(x) for x in (at["k_id"], at["k_text"], at["at"], at["at"] + window)))
+
+    by = ["d1", "d2"]
+    tally = materialize(windows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("met").alias("met")), "hot-tally")
+    heavy = materialize(heavy_keys(tally.select(*by, "n"), windows.count(), least).select(*by), "hot-heavy")
+    # Windows of many rows have many places; the others are looked up.
+    many = windows.join(F.broadcast(heavy), by, "left_semi")
+    few = windows.join(F.broadcast(heavy), by, "left_anti").join(tally.where("met > 1").select(*by).hint("shuffle_hash"), by, "left_semi")
+    return many.unionByName(few).select("places").mapInArrow(run, RANGES)
+
+
 def repeated_ranges(
     spec: Words | Bytes, docs: DataFrame, compare: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], *,
-    id_col: str = "doc_id", text_col: str = "text", hot: int = HOT,
+    id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, heavy_least: int = HEAVY_LEAST,
 ) -> DataFrame:
     """``(k_id, k_text, ranges)``: for each row key the ranges of symbols that repeated windows cover.
 
@@ -310,23 +388,25 @@ def repeated_ranges(
     windows, and returns for every window, in order, whether it also starts in another of them or again in its own.
     """
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-    found = candidate_blocks(spec, keyed, count_grams(spec, keyed, hot))
+    filters = count_grams(spec, keyed, hot)
+    found = candidate_blocks(spec, keyed, filters)
     W = spec.window
 
-    def decide(rows: list[tuple[int, int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def decide(rows: list[tuple[int, int, bytes, int, bytes]]) -> Iterator[pa.RecordBatch]:
         """Rows of whole keys: merges equal blocks, compares the rest."""
         merged: dict[tuple[int, int, bytes], list[bytes]] = {}
-        for k, n, payload, places in rows:
+        times: dict[tuple[int, int, bytes], int] = {}
+        for k, n, payload, met, places in rows:
             merged.setdefault((k, n, payload), []).append(places)
-        where = [np.frombuffer(b"".join(v), dtype=PLACE) for v in merged.values()]
+            times[k, n, payload] = times.get((k, n, payload), 0) + met
+        where = [np.unique(np.frombuffer(b"".join(v), dtype=PLACE)) for v in merged.values()]
         n = np.array([k[1] for k in merged], dtype=np.int64)
-        several = np.array([len(x) > 1 for x in where])
-        # A window that was dealt alone by its digest repeats exactly if its row has several places.
+        # A block met in several places is a copy as a whole: the longest factor there can be.
+        several = np.array([x > 1 for x in times.values()])
         keys = np.array([k[0] for k in merged], dtype=np.int64)
-        whole = np.array([len(k[2]) == (k[1] - 1 + W) * spec.dtype.itemsize for k in merged])
-        _, inverse, met = np.unique(keys, return_inverse=True, return_counts=True)
+        _, inverse, kinds = np.unique(keys, return_inverse=True, return_counts=True)
         # Compared if another block shares the gram, or if the block may repeat a window within itself.
-        compared = np.flatnonzero(whole & ~(several & (met[inverse] == 1)))
+        compared = np.flatnonzero(~(several & (kinds[inverse] == 1)))
         flags = np.repeat(several, n)
         first = np.concatenate(([0], np.cumsum(n)))
         if len(compared):
@@ -348,13 +428,13 @@ def repeated_ranges(
                 found.append((np.repeat(where[i], len(lo)), lo, hi))
         place, lo, hi = (np.concatenate(x) for x in zip(*found))
         if len(place):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (place["k_id"], place["k_text"], place["at"] + lo, place["at"] + hi - 1 + W)], names=["k_id", "k_text", "start", "stop"])
+            yield _merged(*(np.ascontiguousarray(x) for x in (place["k_id"], place["k_text"], place["at"] + lo, place["at"] + hi - 1 + W)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, bytes, bytes]] = []
+        rows: list[tuple[int, int, bytes, int, bytes]] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if size > COMPARE and row[0] != last:
                     yield from decide(rows)
                     rows, size = [], 0
@@ -365,11 +445,15 @@ def repeated_ranges(
             yield from decide(rows)
 
     ranges = found.repartition("key").sortWithinPartitions("key").mapInArrow(run, RANGES)
+    if filters[1].any():
+        ranges = ranges.unionByName(hot_ranges(materialize(hot_windows(spec, keyed, filters[1]), "hot-windows"), W, heavy_least))
     return ranges.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``(id, text, starts, stops)``: every row of ``docs`` with the ranges of its key; the ranges are the hashed side."""
     rows = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(ranges.hint("shuffle_hash"), ["k_id", "k_text"], "left")
+    ids = docs.select(row_key(id_col, text_col)[0]).groupBy("k_id").agg(F.count(F.lit(1)).alias("n"))
+    heavy = materialize(heavy_keys(ids, docs.count(), heavy_least), "heavy-ids")
+    joined = salted_join(rows, ranges, ["k_id", "k_text"], heavy, "left", heavy_on=["k_id"])
     return joined.select("doc_id", "text", F.col("ranges.start").alias("starts"), F.col("ranges.stop").alias("stops"))

@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -17,10 +18,15 @@ def words_of(text: str | None) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-def token_ids(texts: list[str | None], tokenizer_file: str) -> list[list[int]]:
+@lru_cache(maxsize=4)
+def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file)
+    return Tokenizer.from_file(path)
+
+
+def token_ids(texts: list[str | None], tokenizer_file: str) -> list[list[int]]:
+    t = tokenizer(tokenizer_file)
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 

@@ -18,3 +18,17 @@ def test_small_sources_are_judged_by_their_language(spark):
     assert len(found) == len(docs)
     assert all((r["distance"] is None) == r["base_failed"] for r in found.values())
     assert sorted(i for i, r in found.items() if not r["kept"]) == [1100, 1101, 1300]
+
+
+def test_estimates_are_drawn_without_a_switch(spark):
+    """The distance of one document as its source grows: no jump where one estimate gives way to another."""
+    rng = random.Random(5)
+    text = lambda letters, end="": " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) + end for _ in range(120))
+    common = [(i, text("etaoin"), "en", "large") for i in range(300)]
+    odd = [(2000 + i, text("etaoinETAOIN", ","), "en", "own") for i in range(90)]
+    distances = []
+    for n in (1, 59, 60, 61, 90):
+        found = quality.judge(spark.createDataFrame(common + odd[:n], "doc_id long, text string, lang string, source string"))
+        distances.append(found.where("doc_id = 2000").first()["distance"])
+    near = distances[1:4]
+    assert max(near) < 1.5 * min(near) and distances[0] > distances[-1]
