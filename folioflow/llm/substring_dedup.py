@@ -121,7 +121,7 @@ def repeated_windows(symbols: np.ndarray, offsets: np.ndarray, n: np.ndarray, wi
 
 def duplicate_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``(doc_id, text, starts, stops)``: word ranges covered by windows of 35 words that occur again; unmerged, null if none."""
-    ranges = repeated_ranges(Words(WINDOW), docs, repeated_windows, id_col=id_col, text_col=text_col, hot=hot, heavy_least=heavy_least)
+    ranges = repeated_ranges(Words(WINDOW), docs, repeated_windows, id_col=id_col, text_col=text_col, hot=hot)
     return with_ranges(docs, ranges, id_col, text_col, heavy_least)
 
 

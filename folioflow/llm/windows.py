@@ -7,12 +7,13 @@ are filed alike, and consecutive windows under one gram form a *block* with the
 1. grams are counted (partial sums per task, one narrow shuffle), and those of two or more blocks go into a bit filter
    sized by their number, up to ``MOST_BITS``, broadcast to the second reading (a crowded filter lets more blocks through
    but loses none);
-2. blocks under a counted gram are dealt by gram, equal blocks of a task collapsed to one row with their places, and each
-   operator compares the blocks of a gram by its own method and marks the windows found elsewhere;
-3. grams of more than ``hot`` blocks, which no task should gather, are read once more window by window: a window's 128-bit
-   hash with the number of its places is summed up over all tasks, and the places of those that occur again are kept.
-   Windows of many rows are told by a broadcast of at most ``HEAVY`` hashes, the others by a join on the hash, so the
-   places of a passage in a third of all documents stay dealt as they were read;
+2. blocks under a counted gram are dealt by gram, equal blocks of a task collapsed to one row with their places. A gram
+   of more than ``hot`` blocks, which no task should gather, is dealt window by window instead, each under its own
+   128-bit hash; and as such a window can itself be in a third of all documents, under one of several salts, as many as
+   the most frequent gram asks for;
+3. each operator compares the blocks of a gram by its own method and marks the windows found elsewhere. A window under a
+   salt with two places is a repeat. One that is alone there may have others under other salts: a row for each salt, and
+   no more, is brought together by hash to settle it;
 4. covered ranges, merged in every task, go back to their documents, which are joined by id and text hash; an id that
    many rows share is salted.
 
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +41,17 @@ SLICE = 1 << 20
 GATHER, COMPARE = 24 << 20, 1 << 20
 #: log2 of the bits of a filter: the least and the most (32 MB); in between, sixteen bits for each key.
 LEAST_BITS, MOST_BITS = 16, 28
-#: Blocks of one gram that a task compares with each other.
-HOT = 1024
+#: Blocks of one gram that a task compares with each other; blocks of a hot gram for each salt of its windows.
+HOT = 4096
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_HOT_SIDE = np.uint64(0xA5A5A5A55A5A5A5A)
 
 BLOCKS = "key bigint, n int, payload binary, met bigint, places binary"
-HOT_WINDOWS = "d1 bigint, d2 bigint, met bigint, places binary"
-RANGES = "k_id bigint, k_text bigint, start bigint, stop bigint"
+#: What a comparison finds: ranges, or windows that are alone under their salt, or that aren't.
+RANGE, ALONE, SETTLED = 0, 1, 2
+FINDINGS = "k_id bigint, k_text bigint, start bigint, stop bigint, kind int, d1 bigint, d2 bigint"
+NAMES = [f.split()[0] for f in FINDINGS.split(", ")]
 PLACE = np.dtype([("k_id", "<i8"), ("k_text", "<i8"), ("at", "<i8")])
 
 
@@ -244,8 +249,8 @@ def _passes(filter_: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (filter_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def count_grams(spec: Words | Bytes, keyed: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """Filters for the grams of two or more blocks and of more than ``hot``."""
+def count_grams(spec: Words | Bytes, keyed: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Filters for the grams of two or more blocks and of more than ``hot``; and the blocks of the most frequent one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for symbols, bounds, _ in _pieces(spec, batches):
@@ -253,9 +258,9 @@ def count_grams(spec: Words | Bytes, keyed: DataFrame, hot: int) -> tuple[np.nda
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     counts = materialize(keyed.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "grams")
-    filters = _bit_filter(counts), _bit_filter(counts.where(F.col("n") > hot))
+    found = _bit_filter(counts), _bit_filter(counts.where(F.col("n") > hot)), counts.agg(F.max("n")).first()[0] or 0
     discard(counts)
-    return filters
+    return found
 
 
 class _Held:
@@ -283,14 +288,16 @@ class _Held:
         return keys, pa.array(met, pa.int64()), pa.array(places, pa.binary())
 
 
-def candidate_blocks(spec: Words | Bytes, keyed: DataFrame, filters: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Blocks (:data:`BLOCKS`) under a repeated gram that is not hot, equal ones of a task in one row with their places."""
+def candidate_blocks(spec: Words | Bytes, keyed: DataFrame, filters: tuple[np.ndarray, np.ndarray], salts: int) -> DataFrame:
+    """Blocks (:data:`BLOCKS`) under a repeated gram, equal ones of a task in one row with their places; of hot grams, the
+    windows by their hash (as ``payload``) and a salt."""
     shared = keyed.sparkSession.sparkContext.broadcast(filters)
     W = spec.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, hot = shared.value
         held = _Held()
+        side = int(_HOT_SIDE ^ mix64(np.array([TaskContext.get().partitionId() % salts], dtype=np.uint64))[0])
 
         def flush() -> pa.RecordBatch:
             keys, met, places = held.take()
@@ -299,14 +306,21 @@ def candidate_blocks(spec: Words | Bytes, keyed: DataFrame, filters: tuple[np.nd
 
         for symbols, bounds, places in _pieces(spec, batches):
             start, n, key = blocks(spec, symbols, bounds)
-            ok = _passes(repeated, key) & ~_passes(hot, key)
+            ok = _passes(repeated, key)
             start, n, key = start[ok], n[ok], key[ok]
             piece = np.searchsorted(bounds, start, side="right") - 1
             at = start - bounds[piece] + places["at"][piece]
+            apart = _passes(hot, key).tolist()
             ids, texts, signed = places["k_id"][piece].tolist(), places["k_text"][piece].tolist(), key.view(np.int64).tolist()
             data, wide = symbols.astype(spec.dtype, copy=False).tobytes(), spec.dtype.itemsize
             for i, (s, m, k, x) in enumerate(zip(start.tolist(), n.tolist(), signed, at.tolist())):
-                held.add((k, m, data[s * wide : (s + m - 1 + W) * wide]), (ids[i], texts[i], x))
+                if not apart[i]:
+                    held.add((k, m, data[s * wide : (s + m - 1 + W) * wide]), (ids[i], texts[i], x))
+                else:
+                    for j in range(m):
+                        digest = xxhash.xxh3_128_digest(data[(s + j) * wide : (s + j + W) * wide])
+                        own = int.from_bytes(digest[:8], "little") ^ side
+                        held.add((own - (own >> 63 << 64), 1, digest), (ids[i], texts[i], x + j))
             if held.size > GATHER:
                 yield flush()
         if held.rows:
@@ -315,40 +329,8 @@ def candidate_blocks(spec: Words | Bytes, keyed: DataFrame, filters: tuple[np.nd
     return keyed.mapInArrow(run, BLOCKS)
 
 
-def hot_windows(spec: Words | Bytes, keyed: DataFrame, hot: np.ndarray) -> DataFrame:
-    """Windows (:data:`HOT_WINDOWS`) under a hot gram, by the two halves of their hash; equal ones of a task in one row."""
-    shared = keyed.sparkSession.sparkContext.broadcast(hot)
-    W = spec.window
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
-
-        def flush() -> pa.RecordBatch:
-            keys, met, places = held.take()
-            halves = np.frombuffer(b"".join([k[0] for k in keys]), dtype="<i8").reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), met, places], names=["d1", "d2", "met", "places"])
-
-        for symbols, bounds, places in _pieces(spec, batches):
-            start, n, key = blocks(spec, symbols, bounds)
-            ok = _passes(shared.value, key)
-            start, n = start[ok], n[ok]
-            piece = np.searchsorted(bounds, start, side="right") - 1
-            at = start - bounds[piece] + places["at"][piece]
-            ids, texts = places["k_id"][piece].tolist(), places["k_text"][piece].tolist()
-            data, wide, digest = symbols.astype(spec.dtype, copy=False).tobytes(), spec.dtype.itemsize, xxhash.xxh3_128_digest
-            for i, (s, m, x) in enumerate(zip(start.tolist(), n.tolist(), at.tolist())):
-                for j in range(m):
-                    held.add((digest(data[(s + j) * wide : (s + j + W) * wide]),), (ids[i], texts[i], x + j))
-            if held.size > GATHER:
-                yield flush()
-        if held.rows:
-            yield flush()
-
-    return keyed.mapInArrow(run, HOT_WINDOWS)
-
-
 def _merged(k_id: np.ndarray, k_text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    """:data:`RANGES` with those of a row key that touch made one."""
+    """Ranges, those of a row key that touch made one."""
     order = np.lexsort((start, k_text, k_id))
     k_id, k_text, start, stop = (x[order] for x in (k_id, k_text, start, stop))
     new = np.concatenate(([True], (k_id[1:] != k_id[:-1]) | (k_text[1:] != k_text[:-1])))[: len(k_id)]
@@ -360,27 +342,19 @@ def _merged(k_id: np.ndarray, k_text: np.ndarray, start: np.ndarray, stop: np.nd
     return pa.RecordBatch.from_arrays([pa.array(k_id[head]), pa.array(k_text[head]), pa.array(lo - shift[head]), pa.array(hi - shift[head])], names=["k_id", "k_text", "start", "stop"])
 
 
-def hot_ranges(windows: DataFrame, window: int, least: int = HEAVY_LEAST) -> DataFrame:
-    """:data:`RANGES` of the windows (:data:`HOT_WINDOWS`, written) that have two places or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=PLACE))
-            if len(at):
-                yield _merged(*(np.ascontiguousarray(x) for x in (at["k_id"], at["k_text"], at["at"], at["at"] + window)))
-
+def settled(findings: DataFrame) -> DataFrame:
+    """Ranges of ``findings`` (:data:`FINDINGS`, written), those of windows alone under their salt with them if there is
+    another salt. A window has a row for each salt at most, so no group grows with its places."""
     by = ["d1", "d2"]
-    tally = materialize(windows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("met").alias("met")), "hot-tally")
-    heavy = materialize(heavy_keys(tally.select(*by, "n"), windows.count(), least).select(*by), "hot-heavy")
-    # Windows of many rows have many places; the others are looked up.
-    many = windows.join(F.broadcast(heavy), by, "left_semi")
-    few = windows.join(F.broadcast(heavy), by, "left_anti").join(tally.where("met > 1").select(*by).hint("shuffle_hash"), by, "left_semi")
-    return many.unionByName(few).select("places").mapInArrow(run, RANGES)
+    other = findings.where(F.col("kind") != RANGE).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
+    late = findings.where(F.col("kind") == ALONE).join(other.hint("shuffle_hash"), by, "left_semi")
+    columns = ["k_id", "k_text", "start", "stop"]
+    return findings.where(F.col("kind") == RANGE).select(*columns).unionByName(late.select(*columns))
 
 
 def repeated_ranges(
     spec: Words | Bytes, docs: DataFrame, compare: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], *,
-    id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, heavy_least: int = HEAVY_LEAST,
+    id_col: str = "doc_id", text_col: str = "text", hot: int = HOT,
 ) -> DataFrame:
     """``(k_id, k_text, ranges)``: for each row key the ranges of symbols that repeated windows cover.
 
@@ -388,8 +362,9 @@ def repeated_ranges(
     windows, and returns for every window, in order, whether it also starts in another of them or again in its own.
     """
     keyed = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-    filters = count_grams(spec, keyed, hot)
-    found = candidate_blocks(spec, keyed, filters)
+    repeated, frequent, most = count_grams(spec, keyed, hot)
+    salts = max(1, -(-most // hot))
+    found = candidate_blocks(spec, keyed, (repeated, frequent), salts)
     W = spec.window
 
     def decide(rows: list[tuple[int, int, bytes, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -404,9 +379,10 @@ def repeated_ranges(
         # A block met in several places is a copy as a whole: the longest factor there can be.
         several = np.array([x > 1 for x in times.values()])
         keys = np.array([k[0] for k in merged], dtype=np.int64)
+        whole = np.array([len(k[2]) == (k[1] - 1 + W) * spec.dtype.itemsize for k in merged])
         _, inverse, kinds = np.unique(keys, return_inverse=True, return_counts=True)
         # Compared if another block shares the gram, or if the block may repeat a window within itself.
-        compared = np.flatnonzero(~(several & (kinds[inverse] == 1)))
+        compared = np.flatnonzero(whole & ~(several & (kinds[inverse] == 1)))
         flags = np.repeat(several, n)
         first = np.concatenate(([0], np.cumsum(n)))
         if len(compared):
@@ -428,7 +404,15 @@ def repeated_ranges(
                 found.append((np.repeat(where[i], len(lo)), lo, hi))
         place, lo, hi = (np.concatenate(x) for x in zip(*found))
         if len(place):
-            yield _merged(*(np.ascontiguousarray(x) for x in (place["k_id"], place["k_text"], place["at"] + lo, place["at"] + hi - 1 + W)))
+            ranges = _merged(*(np.ascontiguousarray(x) for x in (place["k_id"], place["k_text"], place["at"] + lo, place["at"] + hi - 1 + W)))
+            none = pa.array(np.zeros(ranges.num_rows, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([*ranges.columns, pa.array(np.full(ranges.num_rows, RANGE, dtype=np.int32)), none, none], names=NAMES)
+        if salts > 1 and not whole.all():
+            hashed = np.flatnonzero(~whole)
+            one = np.concatenate([where[i][:1] for i in hashed])
+            halves = np.frombuffer(b"".join([k[2] for k, w in zip(merged, whole) if not w]), dtype="<i8").reshape(-1, 2)
+            columns = [one["k_id"], one["k_text"], one["at"], one["at"] + W, np.where(several[hashed], SETTLED, ALONE).astype(np.int32), halves[:, 0], halves[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names=NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, bytes, int, bytes]] = []
@@ -444,9 +428,12 @@ def repeated_ranges(
         if rows:
             yield from decide(rows)
 
-    ranges = found.repartition("key").sortWithinPartitions("key").mapInArrow(run, RANGES)
-    if filters[1].any():
-        ranges = ranges.unionByName(hot_ranges(materialize(hot_windows(spec, keyed, filters[1]), "hot-windows"), W, heavy_least))
+    findings = found.repartition("key").sortWithinPartitions("key").mapInArrow(run, FINDINGS)
+    if salts > 1:
+        findings = materialize(findings, "findings")
+        ranges = settled(findings)
+    else:
+        ranges = findings.select("k_id", "k_text", "start", "stop")
     return ranges.groupBy("k_id", "k_text").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
