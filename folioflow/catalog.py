@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import documents, io, records, scalars, summaries
+from folioflow.plans import cases, documents, io, records, scalars, summaries
 
-MODULES = (records, scalars, summaries, io, documents)
+MODULES = (records, scalars, summaries, io, documents, cases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

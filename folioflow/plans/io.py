@@ -47,12 +47,19 @@ B.sql["bibtex_roundtrip"] = _with_works(_TITLED)
 
 
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data rows of pipe tables in the documents."""
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return S.read_markdown_tables(lines).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.array_join("cells", "/").alias("cells"))
-
-
-B.add("table_rows", table_rows)
+    """Every document as a pipe table with a header, a rule and a row for each of its lines; its data rows read back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cell = F.regexp_replace(F.coalesce("source", F.lit("")), r"[|\s]", "")
+    rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.lit("| "), cell, F.lit(" |  "), i.cast("string"), F.lit(" | "), F.length(x).cast("string"), F.lit("|")))
+    lines = F.concat(F.array(F.lit("prose | with a bar"), F.lit("|---|:-:|--|")), rows)
+    table = docs.select("doc_id", F.posexplode(lines).alias("line_no", "line"))
+    return S.read_markdown_tables(table).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.array_join("cells", "/").alias("cells"))
+
+
+B.add("table_rows", table_rows, """
+SELECT doc_id, n + 1 AS line_no, concat(regexp_replace(source, '[| ]', '', 'g'), '/', n - 1, '/', length(x)) AS cells
+FROM (SELECT doc_id, source, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS x FROM (SELECT doc_id, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+""")
 
 
 def stream_checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:

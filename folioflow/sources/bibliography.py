@@ -47,4 +47,4 @@ def to_bibtex(works: DataFrame, key: str = "cite_key") -> DataFrame:
 def read_markdown_tables(lines: DataFrame) -> DataFrame:
     """``(doc_id, line_no, cells)`` of the data rows of pipe tables in (doc_id, line_no, line); rules are left out."""
     row = F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^[\s|:\-]+$")
-    return lines.where(row).select("doc_id", "line_no", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim).alias("cells"))
+    return lines.where(row).select("doc_id", "line_no", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)).alias("cells"))
