@@ -41,6 +41,8 @@ SHARE = 0.75
 PRIOR = 60
 #: A group has settled when a step lowers the logarithm of its determinant by no more than this.
 SETTLED = 1e-3
+#: Quantiles are right to one in so many ranks; what a task passes on for a group grows with it.
+PRECISION = 1_000
 #: The group of all rows.
 ALL_ROWS = "\x03"
 #: Groups whose estimates are broadcast; of more, they are joined by shuffle.
@@ -189,17 +191,17 @@ def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES,
     """MCD location, covariance and precision (:func:`_schema`; ``n`` is of all rows) for every ``grp`` of ``vectors``."""
     names, floors = list(features), list(features.values())
     d = len(names)
-    groups = materialize(vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"c_{i}") for i, c in enumerate(names)]), "mcd")
+    groups = materialize(vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, PRECISION).alias(f"c_{i}") for i, c in enumerate(names)]), "mcd")
     small = _small(groups)
     spread = vectors.join(small(groups), "grp").groupBy("grp").agg(
-        *[F.first(f"c_{i}").alias(f"m_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"c_{i}")), 0.5, 10_000).alias(f"s_{i}") for i, c in enumerate(names)]
+        *[F.first(f"c_{i}").alias(f"m_{i}") for i in range(d)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"c_{i}")), 0.5, PRECISION).alias(f"s_{i}") for i, c in enumerate(names)]
     )
     zero = [F.lit(0.0).alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1, d)]
     start = spread.select("grp", F.lit(float("inf")).alias("logdet"), *[f"m_{i}" for i in range(d)], *[(1 / (F.pow(1.4826 * F.col(f"s_{i}"), 2) + floors[i] ** 2)).alias(f"p_{i}_{i}") for i in range(d)], *zero)
     estimate, settled = materialize(start, "mcd"), None
     while True:
         placed = vectors.join(small(estimate), "grp").withColumn("d2", _distance(names)).select("grp", "d2", *names, *[F.col(f"m_{i}").alias(f"c_{i}") for i in range(d)])
-        near = placed.groupBy("grp").agg(F.percentile_approx("d2", share, 10_000).alias("most"))
+        near = placed.groupBy("grp").agg(F.percentile_approx("d2", share, PRECISION).alias("most"))
         kept = placed.join(small(near), "grp").where("d2 <= most")
         x = [F.col(c) - F.col(f"c_{i}") for i, c in enumerate(names)]
         sums = kept.groupBy("grp").agg(
@@ -217,7 +219,7 @@ def robust_estimates(vectors: DataFrame, features: dict[str, float] = FEATURES,
             break
     # Covariances are scaled so that the median distance is that of a normal sample, never below what the floors make of them.
     found = materialize(settled, "mcd")
-    scale = vectors.join(small(found), "grp").withColumn("d2", _distance(names)).groupBy("grp").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / MEDIAN5, F.lit(1.0)).alias("scale"))
+    scale = vectors.join(small(found), "grp").withColumn("d2", _distance(names)).groupBy("grp").agg(F.greatest(F.percentile_approx("d2", 0.5, PRECISION) / MEDIAN5, F.lit(1.0)).alias("scale"))
     means, values = _columns(d)
     scaled = [(F.col(v) * F.col("scale")).alias(v) for v in values] + [(F.col(v.replace("v", "p")) / F.col("scale")).alias(v.replace("v", "p")) for v in values]
     full = found.drop("n").join(scale, "grp").join(groups.select("grp", "n"), "grp")
@@ -239,8 +241,9 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     # An estimate as the one that others are drawn towards.
     up = lambda df: df.select(F.col("grp").alias("ugrp"), *(F.col(c).alias(f"u{c}") for c in sum(_columns(d), [])))
     levels = materialize(passed.select(own.alias("own"), language.alias("language")).distinct(), "quality-levels")
-    languages = estimates.join(small(levels.select("language").distinct()), F.col("grp") == F.col("language"), "left_semi")
-    languages = materialize(_drawn(languages.withColumn("ugrp", F.lit(ALL_ROWS)).join(F.broadcast(up(estimates)), "ugrp"), d, prior), "mcd")
+    tops = materialize(levels.select("language").distinct().withColumn("ugrp", F.lit(ALL_ROWS)), "quality-levels")
+    languages = estimates.join(small(tops), F.col("grp") == F.col("language")).drop("language").join(small(up(estimates)), "ugrp")
+    languages = materialize(_drawn(languages, d, prior), "mcd")
     paired = estimates.join(small(levels), F.col("grp") == F.col("own")).join(small(up(languages)), F.col("language") == F.col("ugrp"))
     drawn = materialize(_drawn(paired.drop("own", "language"), d, prior), "mcd")
     judged = grouped.join(small(drawn.drop("n", "logdet", *_columns(d)[1])), "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(list(FEATURES))))
