@@ -73,10 +73,13 @@ def similar_pairs(classes: DataFrame, share: float = 0.4) -> DataFrame:
 
 
 def first_links(rows: DataFrame, id_col: str, keys_col: str) -> DataFrame:
-    """``(i, j)``: each row linked to the smallest id of every element of its array; as many links as rows and elements,
-    and the same connected rows as all pairs would have."""
-    each = rows.select(F.col(id_col).alias("j"), F.explode(F.array_distinct(keys_col)).alias("k"))
-    return each.join(each.groupBy("k").agg(F.min("j").alias("i")), "k").where("i < j").select("i", "j").distinct()
+    """``(k, i, j)``: for every element k of its array, each row j linked to the smallest id i that has k too. So the rows of
+    an element are i and its j, in as many links as rows and elements rather than in all pairs.
+
+    Cases: null arrays and elements link nothing; repeated rows give their links once; an element of one row has no link.
+    """
+    each = rows.select(F.col(id_col).alias("j"), F.explode(F.array_distinct(keys_col)).alias("k")).where("k is not null")
+    return each.join(each.groupBy("k").agg(F.min("j").alias("i")), "k").where("i < j").select("k", "i", "j").distinct()
 
 
 def first_of_either_key(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
@@ -105,11 +108,29 @@ def first_of_either_key(rows: DataFrame, order: str, keys: list[str]) -> DataFra
             return rows.join(kept.withColumnRenamed("o", order), order, "left_semi").select(*rows.columns)
 
 
+def last_verdicts(verdicts: DataFrame) -> DataFrame:
+    """``(i, j, verdict)``, i < j: of the verdicts (a, b, verdict, ord) on a pair, in either order, the last one. Those with
+    a null id or on a work and itself are ignored; of equal ``ord``, the last verdict by name counts."""
+    canonical = verdicts.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "verdict", "ord").where("a <> b")
+    return canonical.groupBy("i", "j").agg(F.max(F.struct("ord", "verdict")).alias("last")).select("i", "j", F.col("last.verdict").alias("verdict"))
+
+
+def allowed_verdicts(works: DataFrame, verdicts: DataFrame, share: float = 0.4) -> DataFrame:
+    """The :func:`last_verdicts` on pairs of ``works`` (id, words, names) that may be compared: those with a surname in
+    common or titles of more than ``share`` common words.
+
+    The rule is tried on each given pair, found by its two ids, so pairs of a common surname are never listed. Cases:
+    unknown ids are ignored; null words and names have nothing in common; a null verdict stays null.
+    """
+    one, two = (works.select(F.col("id").alias(k), F.coalesce("words", F.array()).alias(f"w{k}"), F.coalesce("names", F.array()).alias(f"n{k}")) for k in "ij")
+    met = last_verdicts(verdicts).join(one, "i").join(two, "j")
+    name = F.coalesce(F.arrays_overlap(F.col("ni"), F.col("nj")), F.lit(False))
+    return met.where(name | (jaccard(F.col("wi"), F.col("wj")) > share)).select("i", "j", "verdict")
+
+
 def verdict_join(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Pairs with their verdict: canonical order, unexpected verdicts ignored, missing ones ``no``; the last one counts."""
-    canonical = verdicts.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "verdict", "ord")
-    last = canonical.groupBy("i", "j").agg(F.max_by("verdict", "ord").alias("verdict"))
-    return pairs.join(last, ["i", "j"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("no")))
+    """Pairs (i, j) with their :func:`last_verdicts`: unexpected verdicts are ignored, missing and null ones are ``no``."""
+    return pairs.join(last_verdicts(verdicts), ["i", "j"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("no")))
 
 
 def gap_fill(rows: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:

@@ -42,6 +42,22 @@ def test_verdicts(spark):
     assert {(r["i"], r["j"]): r["verdict"] for r in records.verdict_join(pairs, given).collect()} == {(0, 1): "yes", (1, 2): "no", (0, 2): "no"}
 
 
+def test_verdicts_on_awkward_pairs(spark):
+    rows = [(1, ["a", "b"], ["smith"]), (2, ["x", "y"], ["doe", "smith"]), (3, ["a", "b", "c"], ["roe"]), (4, None, None), (5, ["q"], []), (6, [], ["roe"])]
+    works = spark.createDataFrame(rows, "id long, words array<string>, names array<string>")
+    given = [(2, 1, "yes", 1), (1, 3, "no", 1), (3, 1, "yes", 2), (2, 3, "yes", 1), (4, 5, "yes", 1), (1, 1, "yes", 1), (1, 99, "yes", 1), (None, 1, "yes", 1), (3, 6, None, 1)]
+    verdicts = spark.createDataFrame(given, "a long, b long, verdict string, ord int")
+    found = {(r["i"], r["j"]): r["verdict"] for r in records.allowed_verdicts(works, verdicts).collect()}
+    assert found == {(1, 2): "yes", (1, 3): "yes", (3, 6): None}  # by surname, by title (the last verdict), by surname
+    assert records.allowed_verdicts(works, verdicts.where("false")).count() == records.allowed_verdicts(works.where("false"), verdicts).count() == 0
+
+
+def test_first_links_keep_the_classes(spark):
+    rows = [(3, ["a", "b"]), (1, ["a"]), (2, ["b", "b", None]), (2, ["b"]), (4, None), (5, []), (6, ["c"]), (7, ["a", "b"])]
+    found = {tuple(r) for r in records.first_links(spark.createDataFrame(rows, "id long, ks array<string>"), "id", "ks").collect()}
+    assert found == {("a", 1, 3), ("a", 1, 7), ("b", 2, 3), ("b", 2, 7)}
+
+
 def test_audit_status(spark):
     entries = spark.createDataFrame([(1, ["a", "study", "of", "widgets"]), (2, ["other", "study", "x", "y"]), (3, ["none"])], "id long, words array<string>")
     index = spark.createDataFrame([(9, ["a", "study", "of", "widgets"])], "id long, words array<string>")
