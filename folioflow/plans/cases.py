@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import authors as A
 from folioflow.functions import latex as X
 from folioflow.functions import replies as R
+from folioflow.operators import extraction_gate as G
 from folioflow.operators import markers as M
 from folioflow.sources import references as S
 from folioflow.sources import reports as P
@@ -150,4 +151,23 @@ add("raw_hit_cases", lambda s: P.raw_hits(_HITS(s)).select("title", "authors", "
 _NOTES = table(M.NOTES, [(1, 0, "*", "star"), (1, 1, "10", "ten"), (1, 2, "2", "two"), (1, 3, "", "loose"), (2, 0, "1", " ")])
 add("endnote_cases", lambda s: M.endnotes(_NOTES(s)), ["doc_id", "text"], [(1, "[^2]: two\n[^10]: ten\n[^*]: star")])
 
+_PAGES = table("doc_id long, text string, density double", [
+    (1, "| |(1)|(2)|(3)|\n|---|---|---|---|\n|Market Cap R-squared|0.216|0.444|1.359 ∗∗∗ (0.310) 0.572|\n|Observations|1.47m|1.47m Yes Yes|1.44m|\n|Country FE|No|Yes||", None),
+    (2, "|Macro|κ|\n|United States|0.7396 0.7063 0.6956 0.6331 0.5782|\n|CLI|An index from 0 to 1 over 1980 to 2005 (Chilton 2018).|\n|Fixed effects Yes|1|\n|FE Yes|1|", None),
+    (3, "a \ue001 b \ue000\ue001\nplain", 0.5), (4, "$$\n\n$$\n$$\nx = y\n$$\n$$\n\\intertext { l }\n$$\n$$\nopen", None),
+    (5, "I _ { it } = \\Phi \\theta + \\gamma ≥ 2.66 × x\n$x = 1 + \\a \\b \\c$\n$$\na = b = c = d = e\n$$\na = b = c = d = e\n# a = b = c = d", 0.6),
+    (6, "a = b = c = d = e", 0.2), (7, " \n\u00a0", 0.9), (8, None, None), (9, "$$\nx\n$$\n$$\ny\n$$\na = b = c = d = e", 0.9)])
+add("extraction_gate_cases", lambda s: G.gate(_PAGES(s), density_col="density"), ["doc_id", "line", "kind", "detail"], [
+    (1, 3, "merged-table-row", "col 4, two values: 1.359 ∗∗∗ (0.310) 0.572"), (1, 4, "merged-table-row", "col 3, two values: 1.47m Yes Yes"),
+    (2, 2, "merged-table-row", "col 2, column in a cell: 0.7396 0.7063 0.6956 0.6331 0.5782"), (2, 4, "merged-table-row", "col 1, flag in a label: Fixed effects Yes"),
+    (3, 1, "stray-glyph", "U+E000, U+E001"), (4, 1, "broken-equation", "empty block"), (4, 7, "broken-equation", "intertext"),
+    (5, 1, "flattened-equation", "I _ { it } = \\Phi \\theta + \\gamma ≥ 2.66 × x"), (5, 6, "flattened-equation", "a = b = c = d = e"), (7, 1, "empty-output", ""), (8, 1, "empty-output", "")])
+_RUNS = table("id long, cell string", [(1, "0.7396 1,528 42.4% (0.310) -0.05 0.137***"), (2, "from 0 to 1"), (3, None), (4, "$5 x 6 7")])
+add("number_run_cases", lambda s: _RUNS(s).select("id", G.longest_number_run(F.col("cell")).cast("long").alias("n")), ["id", "n"], [(1, 6), (2, 1), (3, 0), (4, 2)])
+_GLYPHS = table("id long, text string", [(1, "a\n\ue000 \uf8ff\nb \ue000\n\n "), (2, None), (3, "\ue123")])
+add("private_line_cases", lambda s: _GLYPHS(s).select("id", G.strip_private_lines(F.col("text")).alias("text")), ["id", "text"], [(1, "a\nb \ue000\n\n "), (2, ""), (3, "")])
+_GUARDED = table("id long, text string", [(1, "a\n```\n$$\n```\nb"), (2, "$$ x\n```\ny $$\nz"), (3, "$$x$$\n$$\nx"), (4, None)])
+add("protected_line_cases", lambda s: _GUARDED(s).select("id", F.array_join(F.transform(G.protected_lines("text"), lambda b: b.cast("int").cast("string")), "").alias("mask")), ["id", "mask"], [(1, "01110"), (2, "1110"), (3, "011"), (4, "0")])
+add("image_cases", lambda s: table("id long, text string", [(1, "![a](b) <IMG src> ```![no]``` ![c"), (2, None)])(s).select("id", G.image_references(F.col("text")).cast("long").alias("n")), ["id", "n"], [(1, 3), (2, 0)])
+
 QUERIES, SQL = B.queries, B.sql
