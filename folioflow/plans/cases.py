@@ -11,6 +11,7 @@ from folioflow.functions import authors as A
 from folioflow.functions import latex as X
 from folioflow.functions import replies as R
 from folioflow.operators import extraction_gate as G
+from folioflow.operators import fidelity as Q
 from folioflow.operators import markers as M
 from folioflow.sources import references as S
 from folioflow.sources import reports as P
@@ -170,4 +171,15 @@ _GUARDED = table("id long, text string", [(1, "a\n```\n$$\n```\nb"), (2, "$$ x\n
 add("protected_line_cases", lambda s: _GUARDED(s).select("id", F.array_join(F.transform(G.protected_lines("text"), lambda b: b.cast("int").cast("string")), "").alias("mask")), ["id", "mask"], [(1, "01110"), (2, "1110"), (3, "011"), (4, "0")])
 add("image_cases", lambda s: table("id long, text string", [(1, "![a](b) <IMG src> ```![no]``` ![c"), (2, None)])(s).select("id", G.image_references(F.col("text")).cast("long").alias("n")), ["id", "n"], [(1, 3), (2, 0)])
 
+_PAIRED = table("doc_id long, compiled string, converted string, refs long, broken boolean", [
+    (1, "Table 1,234.5 of the Law law of 7 7 cats cats zebras", "table 1,234.5 the LAW", None, None), (2, "alpha beta", "alpha beta \\textit{x} $", 0, False), (3, "cost $5 gamma", "cost $5 gamma", 0, False),
+    (4, None, None, None, None), (5, "", "extra words", 0, False), (6, "alpha", "alpha", 2, False), (7, "alpha", "alpha", 0, True), (8, "A_b \u00c9t\u00e9 x9", "\u00e9t\u00e9 9", 0, False)])
+add("fidelity_cases", lambda s: Q.report(_PAIRED(s), unresolved="refs", failed="broken").withColumn("missing_percent", F.col("missing_percent").cast("long")), ["doc_id", "n_tokens", "n_missing", "n_missing_numbers", "missing_percent", "n_leftover", "verdict"], [
+    (1, 7, 3, 1, 42, 0, "FLAG"), (2, 2, 0, 0, 0, 2, "FLAG"), (3, 3, 0, 0, 0, 0, "OK"), (4, 0, 0, 0, 0, 0, "OK"), (5, 0, 0, 0, 0, 0, "OK"), (6, 1, 0, 0, 0, 0, "FLAG"), (7, 1, 0, 0, 0, 0, "FLAG"), (8, 2, 0, 0, 0, 0, "OK")])
+add("missing_token_cases", lambda s: Q.ranked_missing(Q.missing_tokens(_PAIRED(s)), 2).withColumn("rank", F.col("rank").cast("long")), ["doc_id", "token", "n", "first", "rank"], [(1, "7", 2, 5, 1), (1, "cats", 2, 7, 2)])
+add("label_count_cases", lambda s: _PAIRED(s).where("doc_id in (1, 4)").select("doc_id", F.explode(Q.label_counts(F.col("compiled"))).alias("label", "n")), ["doc_id", "label", "n"], [(1, "Table", 1), (1, "Figure", 0), (1, "Equation", 0), (4, "Table", 0), (4, "Figure", 0), (4, "Equation", 0)])
+_LOGS = table("id long, log string, given string", [(1, "Tables detected: 4\nTables inserted: 3 \nTables detected: 9", None), (2, "x Tables detected: 4", "7"), (3, None, "none"), (4, "Tables detected: x", None)])
+add("log_count_cases", lambda s: _LOGS(s).select("id", Q.log_count(F.col("log"), "Tables detected").alias("logged"), Q.first_present(F.col("given"), Q.log_count(F.col("log"), "Tables detected")).alias("n")).fillna(-1), ["id", "logged", "n"], [(1, 4, 4), (2, -1, 7), (3, -1, 0), (4, -1, 0)])
+add("command_count_cases", lambda s: table("id long, t string", [(1, "\\cite{a} \\citep{b} \\cite[x]{c}"), (2, None)])(s).select("id", F.explode(Q.command_counts(F.col("t"), ["cite", "ref"])).alias("command", "n")), ["id", "command", "n"], [(1, "cite", 2)])
+
 QUERIES, SQL = B.queries, B.sql

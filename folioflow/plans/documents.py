@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators import fidelity as Q
 from folioflow.operators import labels as L
 from folioflow.operators import markers as M
 from folioflow.sources import office as O
@@ -107,4 +108,20 @@ B.add("label_references", label_references, """
 SELECT doc_id, concat('See Table ', doc_id, ' and Appendix B.', doc_id, '; (??eq:x??), Table ', doc_id, '-Appendix B.', doc_id, '.') AS text, CAST(4 AS BIGINT) AS n_refs, 'eq:x' AS missing FROM documents
 """)
 
+def fidelity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against itself without its first line and with a mark left in each ``the``."""
+    docs = _documents(spark, sf_dir).withColumn("converted", F.expr(r"replace(substr(text, length(split_part(text, '\n', 1)) + 2), ' the ', ' $the ')"))
+    return Q.report(docs, compiled="text")
+
+
+B.add("fidelity_report", fidelity_report, r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS a, replace(substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2), ' the ', ' $the ') AS b FROM documents),
+t AS (SELECT *, [lower(x) for x in regexp_extract_all(a, '\d[\d.,]*\d|\d|[\p{L}\p{M}]+') if length(x) > 2 or regexp_matches(x, '^\d')] AS ta, [lower(x) for x in regexp_extract_all(b, '\d[\d.,]*\d|\d|[\p{L}\p{M}]+') if length(x) > 2 or regexp_matches(x, '^\d')] AS tb FROM d),
+u AS (SELECT doc_id, a, b, list_distinct(ta) AS ua, [x for x in list_distinct(ta) if not list_contains(tb, x)] AS gone FROM t),
+m AS (SELECT doc_id, len(ua) AS n_tokens, len(gone) AS n_missing, len([x for x in gone if regexp_matches(x, '^\d')]) AS n_missing_numbers, CASE WHEN len(ua) > 0 THEN 100.0 * len(gone) / len(ua) ELSE 0.0 END AS pct,
+  CAST(list_sum([greatest(0, (length(b) - length(replace(b, k, ''))) // length(k) - (length(a) - length(replace(a, k, ''))) // length(k)) for k in
+    ['\cref', '\Cref', '\textit', '\textbf', '\begin', '\includegraphics', '\sym', '\footnote', '\multicolumn', '\multirow', '\toprule', '\cmidrule', '%%TABLE', '%%FIGURE', '%%PAGEBREAK', '$', '^{{', '_{{']]) AS BIGINT) AS n_leftover FROM u)
+SELECT doc_id, n_tokens, n_missing, n_missing_numbers, round(pct, 2) AS missing_percent, n_leftover, CASE WHEN pct < 3 AND n_leftover = 0 THEN 'OK' ELSE 'FLAG' END AS verdict FROM m
+""".replace("{{", "{"))
+
 QUERIES, SQL = B.queries, B.sql
