@@ -1,13 +1,18 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash cannot serve here: pairs of that similarity differ in up to 11 of 64 bits. Texts of equal sets are one class. The
-MinHash signature of a class (``BANDS`` bands of ``ROWS`` values) brings together what may be similar: classes that share
-a band are linked to the band's first, and the connected ones are a family. Each family's sets then travel once to one
-task, which decides every pair by the exact Jaccard similarity and emits a spanning forest of the links found; a family
-beyond ``PART`` shingles or ``MEMBERS`` classes is cut into parts, and a task gets two of them, so all pairs still meet.
+Texts of equal sets are one class. Its SimHash (64 bits, of the set) is filed under one-wildcard variants as in
+:mod:`simhash`, with a wider budget: of four segments one differs by at most a bit if ``BITS`` = 7 bits differ or fewer.
+Classes that a variant brings that close are connected to families. Each family's sets travel once to one task, which
+decides every pair by the exact Jaccard similarity and emits a spanning forest of the links found; a family beyond
+``PART`` shingles or ``MEMBERS`` classes is cut into parts, and a task gets two of them, so all pairs still meet.
+
+Pairs of that similarity differ in up to 14 bits, and variants for these would hold as good as everything. So what the
+first step leaves apart goes through a second: the MinHash signature of a class (``BANDS`` bands of ``ROWS`` values)
+brings groups of the first step together; those that share a band are linked to the band's first, and the connected ones
+are a family, decided likewise. Groups that share no band with another take no part.
 
 A pair of similarity exactly 0.8 shares no band with a probability of 2e-8, one of 0.85 of 6e-14; nothing that shares a
-band is skipped, and nothing is linked on an estimate.
+band or lies within ``BITS`` is skipped, and nothing is linked on an estimate.
 
 Cases: a text of up to five words is one shingle; null and wordless texts have the empty set and are copies of each
 other; ids and repeated rows are treated as in :mod:`simhash`.
@@ -26,12 +31,14 @@ from pyspark.sql import functions as F
 from folioflow.operators.graph import connected_components
 
 from .common import HEAVY_LEAST, byte_texts, heavy_keys, materialize, mix64, row_key, salted_join
-from .simhash import one_row_each
+from .simhash import BUCKET, compare, majority, one_row_each
 
 SEED = 42
 WORDS = 5
 #: Least similarity, as a fraction.
 SHARE = (4, 5)
+#: Bits in which fingerprints of the first step may differ, and the bits of a segment.
+BITS, SEGMENT = 7, 16
 BANDS, ROWS = 96, 8
 #: Shingles and classes of a part; a task holds two parts.
 PART, MEMBERS = 2_000_000, 4096
@@ -111,8 +118,28 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         queue += near.tolist()
 
 
+def near_prints(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``(a, b)``: links that connect exactly the distinct fingerprints (column ``fp``) within ``BITS`` bits.
+
+    A variant of more than ``bucket`` fingerprints is cut into parts, and a task gets two of them, so all pairs still meet."""
+    i, low = F.col("i"), (1 << SEGMENT) - 1
+    segment = F.expr(f"shiftrightunsigned(fp, i div {SEGMENT} * {SEGMENT})").bitwiseAND(low)
+    wildcard = F.expr(f"shiftleft(1L, i % {SEGMENT})")
+    keyed = prints.select(F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"), "fp")
+    keyed = keyed.select((i.cast("long") * (low + 1) + segment - segment.bitwiseAND(wildcard)).alias("key"), "fp")
+    large = keyed.groupBy("key").count().where(F.col("count") > bucket)
+    large = materialize(large.select("key", F.ceil(F.col("count") / bucket).cast("int").alias("parts")), "copies-large")
+    if large.isEmpty():
+        return compare(keyed, BITS)
+    # Fewer than four million keys in all, and large ones hold ``bucket`` rows each.
+    dealt = keyed.join(large, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "fp")
+    return compare(keyed.join(large, "key", "left_anti"), BITS).unionByName(compare(pairs, BITS)).distinct()
+
+
 def _first_of_band(keyed: DataFrame) -> DataFrame:
-    """``(a, b)``: each class of ``keyed`` (key, fp) with the first of its band, read in order of the key."""
+    """``(a, b)``: each ``fp`` of ``keyed`` (key, fp) with the first of its band, read in order of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_first = None
@@ -153,39 +180,52 @@ def _verified(members: DataFrame) -> DataFrame:
     return members.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a bigint, b bigint")
 
 
-def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part: int = PART, members: int = MEMBERS, heavy_least: int = HEAVY_LEAST) -> DataFrame:
+def keep_one_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part: int = PART, members: int = MEMBERS, bucket: int = BUCKET, heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """``docs`` with one row of each group of linked near copies: that of the smallest id, then of the smallest text hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in byte_texts(batch.column(3))]
-            columns = [pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["k_id", "k_text", "doc_id", "fp", "n", "bands"])
+            prints = np.array([majority(s) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+            columns = [pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["k_id", "k_text", "doc_id", "fp", "n", "print", "bands"])
 
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t).tobytes() for t in byte_texts(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], names=["fp", "family", "parts", "found"])
 
+    def verified(member: DataFrame) -> DataFrame:
+        """``(a, b)``: links of similar classes within the families of ``member`` (fp, n, k_id, k_text, family; written)."""
+        sizes = materialize(member.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / part, F.count(F.lit(1)) / members)).cast("int").alias("cuts"), F.count(F.lit(1)).alias("n")), "copies-sizes")
+        heavy = materialize(heavy_keys(sizes.select("family", "n"), member.count(), heavy_least), "copies-heavy")
+        sized = salted_join(member.drop("n"), sizes.where("n > 1").select("family", F.col("cuts")), ["family"], heavy).select("k_id", "k_text", "fp", "family", F.col("cuts").alias("parts"))
+        # One text of each class: rows alike in id and text have one key.
+        texts = keyed.select("k_id", "k_text", "text").join(sized.hint("shuffle_hash"), ["k_id", "k_text"])
+        sets = texts.select("fp", "family", "parts", "text").mapInArrow(read_sets, "fp bigint, family bigint, parts int, found binary")
+        mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        grp = F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp")
+        return materialize(_verified(dealt.select(grp, "fp", "found")), "copies-links")
+
     keyed = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(keyed.mapInArrow(run, "k_id bigint, k_text bigint, doc_id bigint, fp bigint, n bigint, bands array<bigint>"), "copies-rows")
+    rows = materialize(keyed.mapInArrow(run, "k_id bigint, k_text bigint, doc_id bigint, fp bigint, n bigint, print bigint, bands array<bigint>"), "copies-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k_id", "k_text")).alias("first")
-    classes = materialize(rows.groupBy("fp").agg(first, F.first("n").alias("n")), "copies-classes")
-    signed = rows.join(classes.select("fp", F.col("first.k_id").alias("k_id"), F.col("first.k_text").alias("k_text")), ["fp", "k_id", "k_text"], "left_semi")
-    families = connected_components(_first_of_band(signed.select(F.explode("bands").alias("key"), "fp")), "a", "b")
-    member = classes.join(families, classes["fp"] == families["node"]).select("fp", F.col("component").alias("family"), "n", F.col("first.k_id").alias("k_id"), F.col("first.k_text").alias("k_text"))
-    member = materialize(member, "copies-members")
-    sizes = materialize(member.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / part, F.count(F.lit(1)) / members)).cast("int").alias("cuts"), F.count(F.lit(1)).alias("n")), "copies-sizes")
-    heavy = materialize(heavy_keys(sizes.select("family", "n"), member.count(), heavy_least), "copies-heavy")
-    sized = salted_join(member.drop("n"), sizes.select("family", F.col("cuts")), ["family"], heavy).select("k_id", "k_text", "fp", "family", F.col("cuts").alias("parts"))
-    # One text of each class: rows alike in id and text have one key.
-    texts = keyed.select("k_id", "k_text", "text").join(sized.hint("shuffle_hash"), ["k_id", "k_text"])
-    sets = texts.select("fp", "family", "parts", "text").mapInArrow(read_sets, "fp bigint, family bigint, parts int, found binary")
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    grp = F.xxhash64("family", F.least("mine", "other"), F.greatest("mine", "other")).alias("grp")
-    links = _verified(dealt.select(grp, "fp", "found"))
-    groups = connected_components(links, "a", "b")
+    classes = materialize(rows.groupBy("fp").agg(first, F.first("n").alias("n"), F.first("print").alias("print")), "copies-classes")
+    named = classes.where("n > 0").select("fp", "n", "print", F.col("first.k_id").alias("k_id"), F.col("first.k_text").alias("k_text"))
+    # First step: fingerprints that a variant brings within ``BITS``, or that are equal.
+    close = connected_components(near_prints(named.select(F.col("print").alias("fp")).distinct(), bucket))
+    member = named.join(close, named["print"] == close["node"], "left").select("fp", "n", "k_id", "k_text", F.coalesce("component", "print").alias("family"))
+    links = verified(materialize(member, "copies-members"))
+    # Second step: groups of the first that share a band.
+    groups = connected_components(links)
+    rooted = materialize(named.join(groups, named["fp"] == groups["node"], "left").select("fp", "n", "k_id", "k_text", F.coalesce("component", "fp").alias("root")), "copies-rooted")
+    signed = rows.select("fp", "k_id", "k_text", "bands").join(rooted.select("fp", "k_id", "k_text", "root"), ["fp", "k_id", "k_text"]).select("root", "bands")
+    families = materialize(connected_components(_first_of_band(signed.select(F.explode("bands").alias("key"), F.col("root").alias("fp")))), "copies-families")
+    heavy = materialize(heavy_keys(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")), rooted.count(), heavy_least), "copies-heavy")
+    member = salted_join(rooted, families.select(F.col("node").alias("root"), F.col("component").alias("family")), ["root"], heavy).drop("root")
+    links = links.unionByName(verified(materialize(member, "copies-members")))
+    groups = connected_components(links)
     left = classes.join(groups, classes["fp"] == groups["node"], "left").select("first", F.coalesce("component", "fp").alias("root"))
     kept = left.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k_id").alias("k_id"), F.col("first.k_text").alias("k_text"))
     return one_row_each(docs, kept, rows, id_col, text_col)

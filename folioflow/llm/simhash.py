@@ -47,6 +47,11 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     if len(w) <= words:
         return digest(b" ".join(w), SEED)
     h = np.fromiter([digest(b" ".join(s), SEED) for s in zip(*(w[i:] for i in range(words)))], dtype=np.uint64, count=len(w) - words + 1)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes ``h``."""
     octets = h.view(np.uint8).reshape(-1, 8)
     if len(h) < 400:
         ones = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0)
@@ -104,7 +109,7 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
     return _forest(np.concatenate(left), np.concatenate(right)) if left else (key[:0], key[:0])
 
 
-def _compare(keyed: DataFrame, bits: int) -> DataFrame:
+def compare(keyed: DataFrame, bits: int) -> DataFrame:
     """``(a, b)`` links of ``keyed`` (key, fp): dealt by key, compared in runs of the sorted partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +149,8 @@ def near_links(prints: DataFrame, bits: int = 3, bucket: int = BUCKET) -> DataFr
     variants = prints.select(F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"), "fp").withColumn("h", half(F.col("i")))
     keyed = variants.select((F.expr("shiftleft(cast(i as bigint), 32)") + F.col("h") - F.col("h").bitwiseAND(left_out)).alias("key"), "fp")
     if hot_keys.isEmpty():
-        return _compare(keyed, bits)
-    links = [_compare(keyed.join(hot_keys, "key", "left_anti"), bits)]
+        return compare(keyed, bits)
+    links = [compare(keyed.join(hot_keys, "key", "left_anti"), bits)]
     # Free bits of a large variant: the other half and the wildcard.
     i = F.shiftrightunsigned("key", 32)
     other = F.when(i < 32, F.lit(-1 << 32)).otherwise(F.lit(0xFFFFFFFF))
@@ -157,10 +162,10 @@ def near_links(prints: DataFrame, bits: int = 3, bucket: int = BUCKET) -> DataFr
         dealt = materialize(dealt, "simhash-deal")
         large = dealt.groupBy("key").count().where(F.col("count") > bucket).select("key")
         if k == len(DEALS) - 1 or large.isEmpty():
-            links.append(_compare(dealt.select("key", "fp"), bits))
+            links.append(compare(dealt.select("key", "fp"), bits))
             break
         large = materialize(large, "simhash-hot")
-        links.append(_compare(dealt.join(large, "key", "left_anti").select("key", "fp"), bits))
+        links.append(compare(dealt.join(large, "key", "left_anti").select("key", "fp"), bits))
         rest = dealt.join(large, "key")
     out = links[0]
     for x in links[1:]:
