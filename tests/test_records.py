@@ -120,3 +120,36 @@ def test_first_of_either_key(spark):
     df = spark.createDataFrame(rows, "o long, d string, t string")
     assert sorted(r["o"] for r in records.first_of_either_key(df, "o", ["d", "t"]).collect()) == want
     assert records.first_of_either_key(df.where("false"), "o", ["d", "t"]).count() == 0
+
+
+def shuffled(spark, run):
+    """Records that the stages of ``run`` put into shuffles."""
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def total():
+        bus.waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_similar_pairs_travel_in_proportion(spark):
+    """Sets that share words but are not similar are met and left where they meet: four times the rows, four times the shuffle."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, [f"v{w}" for w in sorted(rng.sample(range(80), rng.randrange(15, 25)))]) for i in range(800)]
+    rows += [(1000 + i, ws[1:] + [f"x{i}"]) for i, ws in rows[:40]]
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) > 0.4}
+    taken = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    for part in (rows[:200], rows):
+        classes, _ = records.word_classes(spark.createDataFrame(part, "id long, ws array<string>"), "id", "ws")
+        held = []
+        taken.append(shuffled(spark, lambda: held.extend(tuple(r) for r in records.similar_pairs(classes).collect())))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(held) == want and len(held) == len(want) >= 40
+    assert taken[1] < 5 * taken[0]
