@@ -153,3 +153,13 @@ def test_similar_pairs_travel_in_proportion(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert set(held) == want and len(held) == len(want) >= 40
     assert taken[1] < 5 * taken[0]
+
+
+def test_titles_are_paired_once_for_verdicts(spark, monkeypatch):
+    """verdict_merge takes its links and its verdicts from one table of similar titles."""
+    from folioflow.plans import records as plans
+
+    calls, similar = [], records.similar_pairs
+    monkeypatch.setattr(records, "similar_pairs", lambda *a: calls.append(1) or similar(*a))
+    plans.verdict_merge(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
