@@ -1,8 +1,9 @@
 """How faithful a converted text is to the compiled one: tokens that went missing, leftover markup, counts and a verdict.
 
-Input is a row per document with both texts. Token tables are one aggregate by (document, token), pre-aggregated in the
-scan's tasks; markup and labels are counted on the row. Cases: null texts count as empty; a compiled text without tokens
-misses nothing; repeated documents would add up, so ids must be unique; an empty table gives no rows.
+Input is a row per document with both texts. The table of missing tokens is one aggregate by (document, token),
+pre-aggregated in the scan's tasks; the report takes each row's tokens, markup and labels on the row. Cases: null texts
+count as empty; a compiled text without tokens misses nothing; in the table repeated documents would add up, so ids must be
+unique there, while the report gives each row its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,14 +64,18 @@ def ranked_missing(missing: DataFrame, most: int, *, id_col: str = "doc_id") ->
 def report(docs: DataFrame, *, id_col: str = "doc_id", compiled: str = "compiled", converted: str = "converted", unresolved: str | None = None, failed: str | None = None) -> DataFrame:
     """A row per document: distinct tokens, how many are missing and what share of them, numbers among them, leftover markup
     and the verdict, ``OK`` below :data:`MISSING_PERCENT` with nothing left over, unresolved or failed."""
-    number = F.col("token").rlike(r"(?U)^\d")
-    lost = missing_tokens(docs, id_col=id_col, compiled=compiled, converted=converted).groupBy(id_col).agg(F.count(F.lit(1)).alias("n_missing"), F.count_if(number).alias("n_missing_numbers"))
     extra = F.aggregate(F.map_values(leftover_markup(F.col(converted), F.col(compiled))), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    # Both token lists of a row stay with it: no table of tokens, no shuffle, and a task holds one row's tokens at a time.
+    # A generator of one row keeps Spark from taking the tokens anew for every column that uses them.
+    tokens = F.struct(F.array_distinct(significant_tokens(F.col(compiled))).alias("_tokens"), significant_tokens(F.col(converted)).alias("_there"))
     each = docs.select(
-        F.col(id_col), F.size(F.array_distinct(significant_tokens(F.col(compiled)))).cast("bigint").alias("n_tokens"), extra.alias("n_leftover"),
+        F.col(id_col), F.inline(F.array(tokens)), extra.alias("n_leftover"),
         F.coalesce(F.col(unresolved).cast("bigint") if unresolved else F.lit(0), F.lit(0)).alias("_open"), F.coalesce(F.col(failed).cast("boolean") if failed else F.lit(False), F.lit(False)).alias("_failed"),
     )
-    joined = each.join(lost, id_col, "left").fillna(0, ["n_missing", "n_missing_numbers"])
+    gone = F.array_except("_tokens", "_there").alias("_gone")
+    lost = each.select(id_col, "n_leftover", "_open", "_failed", F.size("_tokens").cast("bigint").alias("n_tokens"), F.inline(F.array(F.struct(gone))))
+    numbers = F.filter("_gone", lambda t: t.rlike(r"(?U)^\d"))
+    joined = lost.withColumns({"n_missing": F.size("_gone").cast("bigint"), "n_missing_numbers": F.size(numbers).cast("bigint")})
     percent = F.when(F.col("n_tokens") > 0, 100.0 * F.col("n_missing") / F.col("n_tokens")).otherwise(0.0)
     good = (percent < MISSING_PERCENT) & (F.col("n_leftover") == 0) & (F.col("_open") == 0) & ~F.col("_failed")
     return joined.select(id_col, "n_tokens", "n_missing", "n_missing_numbers", F.round(percent, 2).alias("missing_percent"), "n_leftover", F.when(good, "OK").otherwise("FLAG").alias("verdict"))
